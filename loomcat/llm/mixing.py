@@ -83,13 +83,22 @@ def sources_of(sized: DataFrame) -> list:
     return sorted(((r.source, r.size) for r in rows), key=lambda r: (r[0] is None, r[0] or ""))
 
 
-def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, repeats and taken of every row of docs (doc_id, text, source)."""
-    spark = docs.sparkSession
+def _hash(seed: int):
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), 1)
+
+
+def _source_key():
+    return F.when(F.col("source").isNull(), "null").otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
+
+
+def _sized(docs: DataFrame, seed: int) -> DataFrame:
     size = F.size(S.words(S.text_of())).cast("long")
-    mark = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), 1)
-    skey = F.when(F.col("source").isNull(), "null").otherwise(F.concat(F.lit("="), "source"))
-    sized = S.stored(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), mark.alias("hash")).withColumn("skey", skey), "sizes")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), _hash(seed).alias("hash"), _source_key().alias("skey"))
+    return S.stored(rows, "sizes")
+
+
+def _plan(sized: DataFrame, weights: tuple[int, ...], share: Fraction, epochs: int) -> DataFrame:
+    """skey, source_size, target, whole repeats and the hash below which a document gets one more."""
     sources = sources_of(sized)
     total = share * sum(n for _, n in sources)
     targets = water_fill([n for _, n in sources], [weights[i % len(weights)] for i in range(len(sources))], total, epochs)
@@ -98,12 +107,29 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: Fraction
     need = {key[s]: t - whole[s] * n for (s, n), t in zip(sources, targets, strict=True) if t > whole[s] * n}
     below = _thresholds(sized, need)
     rows = [(key[s], n, float(t), whole[s], below.get(key[s], 0)) for (s, n), t in zip(sources, targets, strict=True)]
-    plan = spark.createDataFrame(rows, "skey string, source_size long, target double, whole long, below long")
-    repeats = F.col("whole") + F.when((F.col("hash") < F.col("below")) & (F.col("whole") < epochs), 1).otherwise(0)
-    out = sized.join(S.small(plan, len(rows)), "skey").withColumn("repeats", repeats)
+    return S.small(sized.sparkSession.createDataFrame(rows, "skey string, source_size long, target double, whole long, below long"), len(rows))
+
+
+def _repeats(epochs: int):
+    return F.col("whole") + F.when((F.col("hash") < F.col("below")) & (F.col("whole") < epochs), 1).otherwise(0)
+
+
+def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
+    """doc_id, source, size, source_size, target, repeats and taken of every row of docs (doc_id, text, source)."""
+    sized = _sized(docs, seed)
+    out = sized.join(_plan(sized, weights, share, epochs), "skey").withColumn("repeats", _repeats(epochs))
     return out.select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
 
 
+def repeated(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
+    """docs, each row as often as the mix takes it; texts are not shuffled."""
+    plan = _plan(_sized(docs, seed), weights, share, epochs).withColumnRenamed("skey", "_skey")
+    out = docs.withColumns({"_hash": _hash(seed), "_key": _source_key()}).join(plan, F.col("_key") == F.col("_skey"))
+    repeats = F.col("whole") + F.when((F.col("_hash") < F.col("below")) & (F.col("whole") < epochs), 1).otherwise(0)
+    copies = F.when(repeats > 0, F.sequence(F.lit(1).cast("long"), repeats.cast("long")))
+    return out.select(*docs.columns, F.explode(copies).alias("_copy")).select(*docs.columns)
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to 150 % of their size."""
     return mix(S.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

@@ -315,3 +315,113 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their fingerprints and components."""
     found = groups(fingerprints(S.table(spark, sf_dir, "documents")))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Near duplicates by similarity: words of a shingle, similarity of shingle sets, words of a fingerprint, bits of a partition.
+NEAR_SHINGLE, SIMILARITY, WORDS, WIDTH = 5, 0.8, 16, 16
+#: Estimates this far from the wanted similarity (over four standard deviations) are trusted.
+MARGIN = 0.12
+
+
+def _wide_fingerprints(shingle: int, words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sizes, fps = [], [], []
+            for text in batch.column("text").to_pylist():
+                hashes = np.unique(shingle_hashes(text, shingle))
+                line = b" ".join(text.encode("utf-8", "surrogatepass").translate(LOWER).split())
+                keys.append(xxhash.xxh3_128_digest(line))
+                sizes.append(len(hashes))
+                fps.append(fingerprint(hashes, words).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(fps, pa.binary())], ["doc_id", "key", "size", "fp"])
+
+    return run
+
+
+def _estimated(least: float):
+    """Pairs whose shingle sets, by their sizes and the angle of their fingerprints, reach least, with that estimate."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(batch.num_rows, -1) for c in ("fa", "fb"))
+            n, m = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("na", "nb"))
+            cosine = np.cos(np.pi * np.bitwise_count(x ^ y).sum(1) / (64.0 * x.shape[1]))
+            common = np.minimum(cosine * np.sqrt(n * m), np.minimum(n, m))
+            value = common / np.maximum(n + m - common, 1)
+            keep = pa.array(value >= least)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(keep) for c in ("a", "b")), pa.array(value).filter(keep)], ["a", "b", "value"])
+
+    return run
+
+
+def _exactly(similarity: float, shingle: int):
+    """Pairs whose shingle sets are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
+                one, two = (np.unique(shingle_hashes(t, shingle)) for t in (x, y))
+                common = len(np.intersect1d(one, two, assume_unique=True))
+                keep.append(common >= similarity * (len(one) + len(two) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, *, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, words: int = WORDS, width: int = WIDTH) -> DataFrame:
+    """doc_id and keeper (the smallest id of its group) of docs (doc_id, text) with an id.
+
+    Texts equal but for case and white space are one from the start. Fingerprints have
+    64 * words bits in partitions of width bits with thresholds 0, so pairs that differ
+    in fewer bits than there are partitions always meet; at similarity 0.8 pairs meet with
+    probability 0.99. Similarity is estimated from the whole fingerprints and the
+    numbers of shingles (standard deviation 0.026 for 1024 bits at 0.8); where that leaves
+    doubt, it is counted on the texts.
+    """
+    S.importable(docs.sparkSession)
+    text = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), S.text_of().alias("text"))
+    prints = S.stored(text.mapInArrow(_wide_fingerprints(shingle, words), "doc_id long, key binary, size int, fp binary"), "wide-fingerprints")
+    nodes = S.stored(prints.groupBy("key").agg(F.min("doc_id").alias("node"), F.min("size").alias("size"), F.min("fp").alias("fp")), "near-nodes")
+    n = nodes.count()
+    bits = 64 * words
+    sample = sampled(nodes.select("fp"), "fp") if n else np.zeros((0, bits))
+    parts = [(g, 0) for g in grouped_bits(sample, bits // width)] if n else []
+    # a bucket is compared by one word of the fingerprint: at the similarity it differs in 15 % of bits, by chance in half
+    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    limit = round(64 * angle + 3.6 * math.sqrt(64 * angle * (1 - angle)))
+    mark = F.conv(F.hex(F.substring("fp", 1, 8)), 16, -10).cast("long")
+    ready = nodes.select("node", mark.alias("mark"), "fp")
+    pairs = S.stored(links(ready, parts, limit).distinct(), "near-pairs")
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"n{c}"), F.col("fp").alias(f"f{c}"))
+    likely = S.stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_estimated(similarity - MARGIN), "a long, b long, value double"), "near-likely")
+    sure = likely.where(F.col("value") >= similarity + MARGIN).select("a", "b")
+    # pairs near the bound are compared by their texts, unless sure ones connect them already
+    known = S.stored(components(sure), "near-known")
+    of = lambda c: known.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    open_pairs = likely.where(F.col("value") < similarity + MARGIN).join(of("a"), "a", "left").join(of("b"), "b", "left")
+    open_pairs = S.stored(open_pairs.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"), "near-open")
+    ids = open_pairs.select(F.col("a").alias("doc_id")).union(open_pairs.select(F.col("b").alias("doc_id"))).distinct()
+    ids = S.stored(ids, "near-ids")
+    texts = S.stored(text.join(S.small(ids, ids.count()), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "near-texts")
+    both = open_pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    labels = components(S.stored(sure.union(both.mapInArrow(_exactly(similarity, shingle), "a long, b long")), "near-links"))
+    keepers = nodes.select("key", "node").join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("keeper"))
+    return prints.select("doc_id", "key").join(keepers, "key").select("doc_id", "keeper")
+
+
+def deduplicate(docs: DataFrame, **options) -> DataFrame:
+    """docs with one row of each group of near duplicates, that with the smallest id; rows without an id stay.
+
+    Rows that share an id are one document if their texts are equal.
+    """
+    found = S.stored(near_duplicates(docs, **options), "near-groups")
+    gone = S.stored(found.where(F.col("doc_id") != F.col("keeper")).select("doc_id").distinct(), "near-gone")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    twice = S.stored(found.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("doc_id"), "near-twice")
+    if twice.isEmpty():
+        return kept
+    once = kept.join(twice, "doc_id", "left_anti").select(*docs.columns)
+    return once.unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns))
