@@ -3,7 +3,7 @@
 Every window of LENGTH bytes has an anchor: its K-gram of least hash. Neighbouring
 windows with one anchor form a run, and equal windows have equal anchors at equal
 places, so only runs whose anchors' K-grams occur twice can hold repeats (about one run
-for each 85 bytes is counted; texts are not shuffled for that). Runs that are equal as
+for each 69 bytes is counted; texts are not shuffled for that). Runs that are equal as
 a whole are repeats. What is left, distinct runs around one anchor, is gathered by anchor
 and put in suffix order column by column: all strings insert one symbol a round, from
 their ends, which updates the Burrows-Wheeler transform of the collection; each round reads
@@ -35,12 +35,12 @@ from pyspark.sql import functions as F
 
 from . import _shared as S
 
-LENGTH, K = 200, 32
+LENGTH, K = 200, 64
 #: Windows of one anchor at most, and places a cell of a split anchor.
 PLACES, CELL = LENGTH - K + 1, 13
 HOT = 2000
 #: Strings of one collection (whole groups), and bytes of text looked at together.
-BATCH, CHUNK = 2000, 1 << 20
+BATCH, CHUNK = 500, 1 << 20
 SPAN = "row long, s long, n int"
 
 
@@ -159,36 +159,44 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "row", "s", "n", "lone", "data"])
 
 
+def _places(bwt: np.ndarray) -> np.ndarray:
+    """For each symbol its place among all in stable order."""
+    out = np.empty(len(bwt), np.int32)
+    out[np.argsort(bwt, kind="stable")] = np.arange(len(bwt), dtype=np.int32)
+    return out
+
+
 def suffix_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """String and length of each suffix of the collection, end marks included, in suffix order.
 
-    Column by column: in round j the suffixes of length j enter. Symbols are bytes plus one;
-    0 stands where a string is at its start.
+    Column by column: in round j the suffixes of length j enter. Symbols are numbered in
+    byte order from 1; 0 stands where a string is at its start.
     """
     m = len(strings)
-    size = np.array([len(x) for x in strings])
+    size = np.array([len(x) for x in strings], np.int64)
     rounds = int(size.max(initial=0))
-    last = np.zeros((m, rounds + 1), np.uint16)  # column j: the symbol before the suffix of length j
+    used = np.unique(np.frombuffer(b"".join(strings), np.uint8))
+    code = np.zeros(256, np.uint8 if len(used) < 256 else np.uint16)
+    code[used] = np.arange(1, len(used) + 1)
+    column = np.zeros((rounds + 1, m), code.dtype)  # row j: the symbols before the suffixes of length j
     for i, x in enumerate(strings):
-        last[i, : size[i]] = np.frombuffer(x, np.uint8)[::-1].astype(np.uint16) + 1
-    bwt, at, live = last[:, 0].copy(), np.arange(m), np.flatnonzero(size > 0)
+        column[: size[i], i] = code[np.frombuffer(x, np.uint8)[::-1]]
+    bwt, live = column[0].copy(), np.flatnonzero(size > 0)
+    at = live
     for j in range(1, rounds + 1):
-        at = at[live] if j == 1 else at
-        # where the longer suffix goes: the end marks, then all symbols before this one in stable order
-        order = np.empty(len(bwt), np.int64)
-        order[np.argsort(bwt, kind="stable")] = np.arange(len(bwt))
-        at = m + order[at] - int((bwt == 0).sum())
-        new = np.empty(len(bwt) + len(at), np.uint16)
+        # where the longer suffix goes: behind the end marks and all symbols before this one in stable order
+        at = _places(bwt)[at] + (m - int(np.count_nonzero(bwt == 0)))
+        new = np.empty(len(bwt) + len(at), code.dtype)
         old = np.ones(len(new), bool)
         old[at] = False
-        new[old], new[at] = bwt, last[live, j]
+        new[old], new[at] = bwt, column[j, live]
         bwt = new
         on = size[live] > j
-        at, live = at[on], live[on]
-    order = np.empty(len(bwt), np.int64)
-    order[np.argsort(bwt, kind="stable")] = np.arange(len(bwt)) - int((bwt == 0).sum()) + m
-    string, length = np.empty(len(bwt), np.int64), np.zeros(len(bwt), np.int64)
-    at, live = np.arange(m), np.arange(m)
+        if not on.all():
+            at, live = at[on], live[on]
+    order = _places(bwt) + (m - int(np.count_nonzero(bwt == 0)))
+    string, length = np.empty(len(bwt), np.int32), np.zeros(len(bwt), np.int32)
+    at = live = np.arange(m)
     string[at] = live
     for j in range(1, rounds + 1):
         on = size[live] >= j

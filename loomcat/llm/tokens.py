@@ -6,7 +6,8 @@ stands, so each Python worker encodes a piece once and then looks it up.
 
 from __future__ import annotations
 
-import numpy as np
+from array import array
+
 import public_tokenizers
 import regex
 
@@ -33,7 +34,7 @@ class Encoder:
         self.memo: dict[str, bytes] = {}
 
     def _direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         memo = self.memo
