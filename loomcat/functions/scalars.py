@@ -51,7 +51,7 @@ def file_ext(path: Column) -> Column:
 
 def distinct_in_order(values: Column) -> Column:
     """Trimmed values without blanks and repeats, in order."""
-    return F.array_distinct(F.filter(F.transform(values, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def l2_norm(vector: Column) -> Column:
