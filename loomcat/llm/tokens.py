@@ -1,11 +1,14 @@
-"""Token ids by the tokenizers library, with a bounded memo of pieces.
+"""Token ids by the tokenizers library, with bounded memos.
 
-A tokenizer with word boundaries gives each piece the same ids wherever it
-stands, so each Python worker encodes a piece once and then looks it up.
+A text is cut at white space where the vocabulary's own rule would cut it too. Each
+worker keeps the ids of chunks and of the pieces that the vocabulary's rule cuts them
+into, so its model handles a piece once. Memos take new entries up to a bound; frequent
+chunks come early, and later ones are worked out each time.
 """
 
 from __future__ import annotations
 
+import json
 from array import array
 
 import public_tokenizers
@@ -13,13 +16,25 @@ import regex
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
-#: Entries of a worker's memo; it starts anew beyond them.
-MEMO_ENTRIES = 700_000
-#: White space on which regular expression libraries differ: such texts are encoded whole.
+#: Entries of a worker's memo of chunks, and of that of pieces.
+MEMO_ENTRIES = 600_000
+#: White space on which rules differ between libraries, and runs of it that are cut as a whole: such texts are encoded whole.
 ODD_SPACE = regex.compile("[\x1c-\x1f\x85᠎]")
+RUN_OF_SPACE = regex.compile(r"\s\s|\s\Z|\A\s")
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
+def _byte_letters() -> str:
+    """The letter that byte-level vocabularies write for each byte: itself where it prints, else the next from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in prints]
+    letters = {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    return "".join(letters[b] for b in range(256))
+
+
+LETTERS = _byte_letters()
+
+
 class Encoder:
     """ids of texts as little-endian unsigned 32-bit integers."""
 
@@ -30,21 +45,47 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.split = str.split if name == WORD_BPE else regex.compile(public_tokenizers.PATTERN).findall
-        self.memo: dict[str, bytes] = {}
+        self.words = name == WORD_BPE
+        with open(path, encoding="utf-8") as f:
+            rule = json.load(f)["pre_tokenizer"]
+        pattern = rule["pretokenizers"][0]["pattern"]["Regex"] if self.words else public_tokenizers.PATTERN
+        self.cut = regex.compile(pattern).findall
+        self.model = self.tokenizer.model.tokenize
+        self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        ids = array("I", [t.id for t in self.model(piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(LETTERS))]).tobytes()
+        if len(self.pieces) < MEMO_ENTRIES:
+            self.pieces[piece] = ids
+        return ids
 
-    def _direct(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _chunk(self, chunk: str) -> bytes:
+        text = self.tokenizer.normalizer.normalize_str(chunk) if self.words else " " + chunk
+        known = self.pieces.get
+        ids = b"".join([known(p) or self._piece(p) for p in self.cut(text)])
+        if len(self.chunks) < MEMO_ENTRIES:
+            self.chunks[chunk] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        memo = self.memo
-        pieces = [None if ODD_SPACE.search(t) else self.split(t) for t in texts]
-        fresh = list({p for row in pieces if row for p in row if p not in memo})
-        if len(memo) + len(fresh) > MEMO_ENTRIES:
-            memo.clear()
-            fresh = list({p for row in pieces if row for p in row})
-        memo.update(zip(fresh, self._direct(fresh), strict=True))
-        return [self._direct([t])[0] if row is None else b"".join([memo[p] for p in row]) for t, row in zip(texts, pieces, strict=True)]
+        known, chunk, out = self.chunks.get, self._chunk, []
+        for text in texts:
+            if ODD_SPACE.search(text) or not self.words and RUN_OF_SPACE.search(text):
+                out.append(self._whole(text))
+                continue
+            parts = text.split() if self.words else text.split(" ")
+            # without runs of white space a space always starts a piece, so chunks are those from space to space
+            head = [] if self.words else [self._whole(parts[0])]
+            rest = parts if self.words else parts[1:]
+            ids = list(map(known, rest))
+            if None in ids:
+                ids = [chunk(p) if i is None else i for p, i in zip(rest, ids, strict=True)]
+            out.append(b"".join(head + ids))
+        return out
 
 
 def encoder(name: str, path: str | None = None) -> Encoder:
