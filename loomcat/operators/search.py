@@ -114,7 +114,7 @@ def encode_cursor(order: Sequence, sort: str, scope: object) -> str:
 def decode_cursor(cursor: str, sort: str, scope: object, arity: int) -> list:
     """The bookmark of a cursor; an unfit one raises ValueError."""
     try:
-        data = json.loads(base64.urlsafe_b64decode(cursor.encode(), altchars=b"-_"))
+        data = json.loads(base64.b64decode(cursor.encode(), altchars=b"-_", validate=True))
         values = data["o"]
     except Exception as e:
         raise ValueError("unreadable cursor") from e
