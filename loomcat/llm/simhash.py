@@ -190,7 +190,7 @@ def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
-def spanning(marks: np.ndarray, distance: int) -> list[tuple[int, int]]:
+def spanning(marks: np.ndarray, distance: int, middle: bool = True) -> list[tuple[int, int]]:
     """Pairs of positions that connect whatever pairs within the distance connect."""
     n = len(marks)
     root = np.arange(n)
@@ -203,9 +203,8 @@ def spanning(marks: np.ndarray, distance: int) -> list[tuple[int, int]]:
 
     out: list[tuple[int, int]] = []
     left, stars = np.arange(n), []
-    # the first pivot is the row nearest to the middle of all
-    middle = np.packbits(bits_of(marks.reshape(-1, 1)).mean(0) > 0.5, bitorder="little").view("<u8")[0]
-    pivot = int(_differ(marks, middle).argmin())
+    # the first pivot is the row nearest to the middle of all, or else the first row
+    pivot = int(_differ(marks, np.packbits(bits_of(marks.reshape(-1, 1)).mean(0) > 0.5, bitorder="little").view("<u8")[0]).argmin()) if middle else 0
     while len(left):
         near = _differ(marks[left], marks[pivot]) <= distance
         own = left[near]
@@ -234,8 +233,19 @@ def spanning(marks: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return out
 
 
-def _bucket_links(bucket: np.ndarray, node: np.ndarray, mark: np.ndarray, distance: int) -> np.ndarray:
-    """Rows (a, b) of linked nodes, rows being sorted by bucket."""
+def _pruned(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links i < j without those whose ends both link to j's first partner: the rest connect the same."""
+    code = np.sort(i * n + j)
+    least = np.full(n, n)
+    np.minimum.at(least, j, i)
+    want = least[j] * n + i
+    at = np.minimum(np.searchsorted(code, want), len(code) - 1)
+    keep = (least[j] == i) | (code[at] != want)
+    return i[keep], j[keep]
+
+
+def _bucket_links(bucket: np.ndarray, node: np.ndarray, mark: np.ndarray, distance: int, middle: bool) -> np.ndarray:
+    """Rows (a, b) of linked nodes, rows being sorted by bucket and node."""
     first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     size = np.diff(np.concatenate([first, [len(bucket)]]))
     found = []
@@ -247,22 +257,25 @@ def _bucket_links(bucket: np.ndarray, node: np.ndarray, mark: np.ndarray, distan
         if not len(rows):
             break
         hit = rows[_differ(mark[rows], mark[rows + step]) <= distance]
-        found.append(np.stack([node[hit], node[hit + step]], 1))
+        found.append(np.stack([hit, hit + step], 1))
+    if found:
+        i, j = _pruned(*np.concatenate(found).T, len(bucket)) if sum(map(len, found)) else (rows[:0], rows[:0])
+        found = [np.stack([node[i], node[j]], 1)]
     for a, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
         own = node[a : a + n]
-        pairs = np.array(spanning(mark[a : a + n], distance), np.int64).reshape(-1, 2)
+        pairs = np.array(spanning(mark[a : a + n], distance, middle), np.int64).reshape(-1, 2)
         found.append(own[pairs])
     out = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
     out = out[out[:, 0] != out[:, 1]]
     return np.unique(np.sort(out, axis=1), axis=0)
 
 
-def _links(distance: int):
+def _links(distance: int, middle: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []  # rows since the start of the last bucket
 
         def emit(bucket: np.ndarray, node: np.ndarray, mark: np.ndarray) -> pa.RecordBatch:
-            pairs = _bucket_links(bucket, node, mark.view("<u8"), distance)
+            pairs = _bucket_links(bucket, node, mark.view("<u8"), distance, middle)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
         for batch in batches:
@@ -283,10 +296,10 @@ def _links(distance: int):
     return run
 
 
-def links(nodes: DataFrame, partitions: list[tuple[list[int], int]], distance: int) -> DataFrame:
+def links(nodes: DataFrame, partitions: list[tuple[list[int], int]], distance: int, middle: bool = True) -> DataFrame:
     """a, b: pairs of nodes (node, mark, fp) within the distance by mark that connect what all such pairs connect in each bucket."""
     keys = nodes.mapInArrow(_keys(partitions), "bucket long, node long, mark long")
-    return keys.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links(distance), "a long, b long")
+    return keys.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_links(distance, middle), "a long, b long")
 
 
 def sampled(fps: DataFrame, order: str) -> np.ndarray:
@@ -394,7 +407,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = NEAR_SHINGLE, similarity:
     limit = round(64 * angle + 3.6 * math.sqrt(64 * angle * (1 - angle)))
     mark = F.conv(F.hex(F.substring("fp", 1, 8)), 16, -10).cast("long")
     ready = nodes.select("node", mark.alias("mark"), "fp")
-    pairs = S.stored(links(ready, parts, limit).distinct(), "near-pairs")
+    pairs = S.stored(links(ready, parts, limit, middle=False).distinct(), "near-pairs")
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"n{c}"), F.col("fp").alias(f"f{c}"))
     likely = S.stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_estimated(similarity - MARGIN), "a long, b long, value double"), "near-likely")
     sure = likely.where(F.col("value") >= similarity + MARGIN).select("a", "b")
