@@ -9,6 +9,7 @@ chunks come early, and later ones are worked out each time.
 from __future__ import annotations
 
 import json
+import re
 from array import array
 
 import public_tokenizers
@@ -16,8 +17,8 @@ import regex
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
-#: Entries of a worker's memo of chunks, and of that of pieces.
-MEMO_ENTRIES = 600_000
+#: Entries of a worker's memos: chunks that are one piece (also read for pieces of others), other chunks, other pieces.
+MEMO_SINGLE, MEMO_JOINED, MEMO_PIECES = 800_000, 250_000, 150_000
 #: White space on which rules differ between libraries, and runs of it that are cut as a whole: such texts are encoded whole.
 ODD_SPACE = regex.compile("[\x1c-\x1f\x85᠎]")
 RUN_OF_SPACE = regex.compile(r"\s\s|\s\Z|\A\s")
@@ -35,6 +36,13 @@ def _byte_letters() -> str:
 LETTERS = _byte_letters()
 
 
+def _plain(pattern: str) -> str:
+    """The vocabulary's rule for ASCII texts, where letters and digits are known without Unicode's tables."""
+    for name, own in ((r"\p{L}", "A-Za-z"), (r"\p{N}", "0-9")):
+        pattern = re.sub(r"\[[^]]*\]", lambda m: m[0].replace(name, own), pattern).replace(name, f"[{own}]")
+    return pattern
+
+
 class Encoder:
     """ids of texts as little-endian unsigned 32-bit integers."""
 
@@ -50,24 +58,55 @@ class Encoder:
             rule = json.load(f)["pre_tokenizer"]
         pattern = rule["pretokenizers"][0]["pattern"]["Regex"] if self.words else public_tokenizers.PATTERN
         self.cut = regex.compile(pattern).findall
+        self.cut_plain = re.compile(_plain(pattern), re.ASCII).findall
         self.model = self.tokenizer.model.tokenize
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.single = self.joined = 0
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _ids(self, piece: str) -> bytes:
+        letters = piece if piece.isascii() else piece.encode("utf-8", "surrogatepass").decode("latin-1")
+        return array("I", [t.id for t in self.model(letters.translate(LETTERS))]).tobytes()
+
+    def _single(self, chunk: str, piece: str) -> bytes:
+        """ids of the piece that is the whole chunk."""
+        ids = self._ids(piece)
+        if self.single < MEMO_SINGLE:
+            self.single += 1
+            self.chunks[chunk] = ids
+        return ids
+
     def _piece(self, piece: str) -> bytes:
-        ids = array("I", [t.id for t in self.model(piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(LETTERS))]).tobytes()
-        if len(self.pieces) < MEMO_ENTRIES:
+        ids = self._ids(piece)
+        if len(self.pieces) < MEMO_PIECES:
             self.pieces[piece] = ids
         return ids
 
     def _chunk(self, chunk: str) -> bytes:
-        text = self.tokenizer.normalizer.normalize_str(chunk) if self.words else " " + chunk
-        known = self.pieces.get
-        ids = b"".join([known(p) or self._piece(p) for p in self.cut(text)])
-        if len(self.chunks) < MEMO_ENTRIES:
+        ids = self.chunks.get(chunk)  # there by now where the text repeats it
+        if ids is not None:
+            return ids
+        plain = chunk.isascii()
+        if plain:
+            pieces = self.cut_plain(chunk.lower() if self.words else " " + chunk)
+        else:
+            pieces = self.cut(self.tokenizer.normalizer.normalize_str(chunk) if self.words else " " + chunk)
+        if len(pieces) == 1:
+            return self._single(chunk, pieces[0])
+        whole, known = self.chunks.get, self.pieces.get
+        if not self.words:
+            # only the first piece has a space before it, as a chunk by itself has
+            head = pieces.pop(0)
+            ids = (whole(head[1:]) or self._single(head[1:], head)) + b"".join([known(p) or self._piece(p) for p in pieces])
+        elif plain:
+            ids = b"".join([whole(p) or self._single(p, p) for p in pieces])
+        else:
+            ids = b"".join([known(p) or self._piece(p) for p in pieces])
+        if self.joined < MEMO_JOINED:
+            self.joined += 1
             self.chunks[chunk] = ids
         return ids
 
