@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as C
-from ..operators import candidates, evaluation, graph, merge, search, topics
+from ..operators import candidates, evaluation, graph, merge, search, sets, topics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -301,3 +301,29 @@ def tag_facets(spark, sf):
 def entity_modalities(spark, sf):
     rows = read(spark, sf, "lineitem").join(read(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return rows.groupBy(F.col("l_suppkey").alias("entity"), (F.col("p_size") % 4).alias("modality")).agg(F.count_distinct("l_partkey").alias("n"))
+
+
+@query("isolated_parts", "SELECT p_partkey AS asset_id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A')")
+def isolated_parts(spark, sf):
+    linked = read(spark, sf, "lineitem").where(F.col("l_returnflag") == "A").select(F.col("l_partkey").alias("asset_id"))
+    return sets.isolated(read(spark, sf, "part").select(F.col("p_partkey").alias("asset_id")), linked, "asset_id")
+
+
+@query("differing_candidates", """WITH l AS (SELECT DISTINCT l_partkey AS asset_id, l_suppkey AS entity FROM lineitem WHERE l_returnflag = 'A'),
+  r AS (SELECT DISTINCT l_partkey AS asset_id, l_suppkey AS entity FROM lineitem WHERE l_returnflag = 'R')
+SELECT *, 'left' AS side FROM (SELECT * FROM l EXCEPT SELECT * FROM r) UNION ALL SELECT *, 'right' AS side FROM (SELECT * FROM r EXCEPT SELECT * FROM l)""")
+def differing_candidates(spark, sf):
+    line = read(spark, sf, "lineitem").select(F.col("l_partkey").alias("asset_id"), F.col("l_suppkey").alias("entity"), "l_returnflag")
+    return sets.differing(line.where("l_returnflag = 'A'"), line.where("l_returnflag = 'R'"), ["asset_id", "entity"])
+
+
+@query("merged_names", "SELECT p_partkey AS asset_id, array_to_string(CASE WHEN p_brand = p_type THEN [p_brand] ELSE [p_brand, p_type] END, '|') AS names FROM part")
+def merged_names(spark, sf):
+    names = sets.merged_names(F.array("p_brand"), F.array("p_type", "p_brand"))
+    return read(spark, sf, "part").select(F.col("p_partkey").alias("asset_id"), F.array_join(names, "|").alias("names"))
+
+
+@query("best_of_buckets", "SELECT l_partkey AS asset_id, max(l_discount) AS similarity FROM lineitem GROUP BY 1")
+def best_of_buckets(spark, sf):
+    line = read(spark, sf, "lineitem").select(F.col("l_partkey").alias("asset_id"), F.col("l_discount").alias("similarity"), "l_returnflag")
+    return sets.best_of_buckets([line.where(F.col("l_returnflag") == f) for f in ("A", "N", "R")], "asset_id", "similarity")
