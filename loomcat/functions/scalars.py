@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 
 @pandas_udf(StringType())
@@ -22,6 +22,19 @@ def text_key(text: Column) -> Column:
     return F.when(text.rlike(r"^[\x00-\x7F]*$"), plain).otherwise(_folded(text))
 
 
+@pandas_udf(ArrayType(StringType()))
+def _folded_each(values: pd.Series) -> pd.Series:
+    fold = lambda x: None if x is None else "".join(unicodedata.normalize("NFKC", x).split()).casefold()
+    return values.map(lambda v: None if v is None else [fold(x) for x in v])
+
+
+def text_keys(values: Column) -> Column:
+    """text_key of each value; arrays of ASCII texts stay in the JVM."""
+    plain = F.transform(values, lambda x: F.lower(F.regexp_replace(x, r"\s+", "")))
+    foreign = F.exists(values, lambda x: ~x.rlike(r"^[\x00-\x7F]*$"))
+    return F.when(~F.coalesce(foreign, F.lit(False)), plain).otherwise(_folded_each(values))
+
+
 def has_letter_or_digit(text: Column) -> Column:
     return F.coalesce(text.rlike(r"[\p{L}\p{N}]"), F.lit(False))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -54,3 +56,38 @@ def list_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """query, first differing rank (null if equal) of two ranked lists (query, rank, id)."""
     both = left.select("query", "rank", F.col("id").alias("l")).join(right.select("query", "rank", F.col("id").alias("r")), ["query", "rank"], "full_outer")
     return both.groupBy("query").agg(F.min(F.when(~F.col("l").eqNullSafe(F.col("r")), F.col("rank"))).alias("first_difference"))
+
+
+def gate_signal(rows: DataFrame, bucket: Sequence[str], cosine: str) -> DataFrame:
+    """top and baseline (mean of the lower half; 0 for a single row) of each bucket."""
+    x = F.when(F.col(cosine).isNull() | F.isnan(cosine), 0.0).otherwise(F.col(cosine))
+    sorted_ = rows.select(*bucket, x.alias("_x")).withColumns({"_r": F.row_number().over(W.partitionBy(*bucket).orderBy("_x")), "_n": F.count("*").over(W.partitionBy(*bucket))})
+    low = F.when(F.col("_r") <= F.floor(F.col("_n") / 2), F.col("_x"))
+    return sorted_.groupBy(*bucket).agg(F.max("_x").alias("top"), F.coalesce(F.avg(low), F.lit(0.0)).alias("baseline"))
+
+
+def relation_sweep(proposed: DataFrame, gold: DataFrame, isolated: DataFrame, thresholds: Sequence[float]) -> DataFrame:
+    """Per threshold: precision of edges, recall of pairs, kind accuracy and isolation accuracy.
+
+    proposed (source, target, kind, confidence), gold (a, b, kind) as unordered pairs, isolated (asset_id).
+    One pass over the edges counts for all thresholds; shares of nothing are 0.
+    """
+    pair = lambda x, y: [F.least(x, y).alias("_a"), F.greatest(x, y).alias("_b")]
+    want = gold.groupBy(*pair("a", "b")).agg(F.max("kind").alias("_kind"))
+    edges = proposed.select(*pair("source", "target"), "source", "kind", "confidence").join(want, ["_a", "_b"], "left")
+    pairs = edges.where(F.col("_kind").isNotNull()).groupBy("_a", "_b").agg(F.max("confidence").alias("best"))
+    alone = isolated.select(F.col("asset_id").alias("source")).distinct().join(proposed.groupBy("source").agg(F.max("confidence").alias("best")), "source", "left")
+    at = lambda name, test: [F.count_if(test(t)).alias(f"{name}{i}") for i, t in enumerate(thresholds)]
+    passed = lambda t: F.col("confidence") >= t
+    one = edges.agg(*at("accepted", passed), *at("hits", lambda t: passed(t) & F.col("_kind").isNotNull()), *at("kinds", lambda t: passed(t) & (F.col("_kind") == F.col("kind"))))
+    two = pairs.agg(*at("covered", lambda t: F.col("best") >= t)).join(F.broadcast(want.agg(F.count("*").alias("pairs"))))
+    three = alone.agg(*at("clean", lambda t: F.col("best").isNull() | (F.col("best") < t)), F.count("*").alias("isolated"))
+    share = lambda x, y: F.when(F.col(y) > 0, F.col(x) / F.col(y)).otherwise(0.0)
+    each = [
+        F.struct(
+            F.lit(float(t)).alias("threshold"), share(f"hits{i}", f"accepted{i}").alias("precision"), share(f"covered{i}", "pairs").alias("recall"),
+            share(f"kinds{i}", f"hits{i}").alias("kind_accuracy"), share(f"clean{i}", "isolated").alias("isolation_accuracy"), F.col(f"accepted{i}").alias("accepted"),
+        )
+        for i, t in enumerate(thresholds)
+    ]
+    return one.join(F.broadcast(two)).join(F.broadcast(three)).select(F.explode(F.array(*each)).alias("x")).select("x.*")

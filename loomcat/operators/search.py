@@ -47,6 +47,11 @@ def nearest(vectors: DataFrame, key: str, vector: str, query: Sequence[float], *
     return vectors.select(key, cosine(F.col(vector), q).alias("cosine")).where(F.col("cosine").isNotNull()).orderBy(F.desc("cosine"), key).limit(k)
 
 
+def radial(rows: DataFrame, key: str, cosine: str, least: float, most: int) -> DataFrame:
+    """key and score ((cosine + 1) / 2) of the rows with a cosine of at least `least`, the best `most` of them."""
+    return rows.where(F.col(cosine) >= least).orderBy(F.desc(cosine), key).limit(most).select(key, ((F.col(cosine) + 1) / 2).alias("score"))
+
+
 def min_max(df: DataFrame, score: str) -> DataFrame:
     """score scaled to 0..1 over all rows; 1 where all are equal."""
     span = df.agg(F.min(score).alias("lo"), F.max(score).alias("hi"))  # one row
