@@ -19,12 +19,14 @@ def pending(assets: DataFrame, labels: DataFrame, skill: str, version: int) -> D
 
 
 def unresolved(assets: DataFrame, vectors: DataFrame, state: DataFrame) -> DataFrame:
-    """Assets with vectors that wait or were never tried; position: fewest attempts first (none before all), then oldest."""
+    """Assets with vectors that wait or were never tried, with their attempts."""
     own = state.select("asset_id", F.col("status").alias("_status"), "attempts", F.lit(True).alias("_known"))
     return assets.join(vectors.select("asset_id"), "asset_id", "left_semi").join(own, "asset_id", "left").where((F.col("_status") == "pending") | F.col("_known").isNull()).drop("_status", "_known")
 
 
-UNRESOLVED_ORDER = (F.asc_nulls_first, "attempts"), (F.asc, "created_at"), (F.asc, "asset_id")
+def unresolved_order() -> list[Column]:
+    """Never tried ones first, then fewest attempts, oldest, smallest id."""
+    return [F.asc_nulls_first("attempts"), F.asc_nulls_last("created_at"), F.asc("asset_id")]
 
 
 def hollow(assets: DataFrame, vectors: DataFrame) -> DataFrame:
