@@ -351,20 +351,140 @@ def _wide_fingerprints(shingle: int, words: int):
     return run
 
 
-def _estimated(least: float):
-    """Pairs whose shingle sets, by their sizes and the angle of their fingerprints, reach least, with that estimate."""
+def _estimates(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Similarities of shingle sets by their sizes n, m and the angle of their whole fingerprints x, y (rows of words)."""
+    cosine = np.cos(np.pi * np.bitwise_count(x ^ y).sum(-1, dtype=np.int64) / (64.0 * x.shape[-1]))
+    common = np.minimum(cosine * np.sqrt(n * m), np.minimum(n, m))
+    return common / np.maximum(n + m - common, 1)
+
+
+def _whole_buckets(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by their first, bucket, cut only between buckets."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        last = int(np.searchsorted(own[0], own[0][-1]))
+        if held and (last or own[0][0] != held[-1][0][0]):
+            yield [np.concatenate(x) for x in zip(*held, [c[:last] for c in own], strict=True)]
+            held = []
+        elif last:
+            yield [c[:last] for c in own]
+        held.append([c[last:] for c in own])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _runs(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First rows and sizes of the buckets."""
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    return first, np.diff(np.concatenate([first, [len(bucket)]]))
+
+
+def _steps(bucket: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of the small buckets."""
+    rows = np.flatnonzero(np.repeat((size > 1) & (size <= SMALL), size))
+    for step in range(1, SMALL):
+        rows = rows[rows + step < len(bucket)]
+        rows = rows[bucket[rows + step] == bucket[rows]]
+        if not len(rows):
+            return
+        yield rows, rows + step
+
+
+def _meeting(distance: int):
+    """Rows bucket, node that have another of their bucket within the distance by mark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(batch.num_rows, -1) for c in ("fa", "fb"))
-            n, m = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("na", "nb"))
-            cosine = np.cos(np.pi * np.bitwise_count(x ^ y).sum(1) / (64.0 * x.shape[1]))
-            common = np.minimum(cosine * np.sqrt(n * m), np.minimum(n, m))
-            value = common / np.maximum(n + m - common, 1)
-            keep = pa.array(value >= least)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(keep) for c in ("a", "b")), pa.array(value).filter(keep)], ["a", "b", "value"])
+        for bucket, node, mark in _whole_buckets(batches, ("bucket", "node", "mark")):
+            mark = mark.view("<u8")
+            first, size = _runs(bucket)
+            met = np.zeros(len(bucket), bool)
+            for i, j in _steps(bucket, size):
+                near = _differ(mark[i], mark[j]) <= distance
+                met[i[near]] = met[j[near]] = True
+            for a, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+                own, found = mark[a : a + n], met[a : a + n]
+                for i in range(n):
+                    if not found[i]:
+                        near = _differ(own, own[i]) <= distance
+                        if near.sum() > 1:
+                            found |= near
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[met]), pa.array(node[met])], ["bucket", "node"])
+
+    return run
+
+
+def _small_pairs(bucket: np.ndarray, size: np.ndarray, fps: np.ndarray, shingles: np.ndarray, least: float, sure: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs i < j of small buckets that may be similar, without those whose ends are both surely similar to j's first sure partner."""
+    found = [(i[:0], i[:0], np.zeros(0)) for i in (np.zeros(0, np.int64),)]
+    for i, j in _steps(bucket, size):
+        value = _estimates(fps[i], shingles[i], fps[j], shingles[j])
+        near = value >= least
+        found.append((i[near], j[near], value[near]))
+    i, j, value = (np.concatenate(x) for x in zip(*found, strict=True))
+    n, known = len(bucket), value >= sure
+    code = np.sort(i[known] * n + j[known])
+    if not len(code):
+        return i, j, value
+    partner = np.full(n, n)
+    np.minimum.at(partner, j[known], i[known])
+    p = partner[j]
+    want = np.minimum(p, i) * n + np.maximum(p, i)
+    keep = (p == n) | (p == i) | (code[np.minimum(np.searchsorted(code, want), len(code) - 1)] != want)
+    return i[keep], j[keep], value[keep]
+
+
+def similar_pairs(fps: np.ndarray, shingles: np.ndarray, least: float, sure: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows that may be similar, without those that sure ones connect already, of which enough to connect are kept."""
+    n = len(fps)
+    star, left = np.zeros(n, np.int64), np.arange(n)
+    found = [(left[:0], left[:0], np.zeros(0))]
+    while len(left):
+        p = left[0]
+        value = _estimates(fps[p], shingles[p], fps[left], shingles[left])
+        near = value >= sure
+        near[0] = True
+        star[left[near]] = p
+        found.append((np.full(near.sum() - 1, p), left[near][1:], value[near][1:]))
+        left = left[~near]
+    root = np.arange(n)  # of the stars' pivots
+    # rows of small stars first, so that those of the largest are only compared with others
+    order = np.lexsort((star, np.bincount(star, minlength=n)[star]))
+    rest = order[: n - int((star == star[order[-1]]).sum())]
+    unsure = []
+    for at, i in enumerate(rest.tolist()):
+        other = order[at + 1 :]
+        other = other[root[star[other]] != root[star[i]]]
+        value = _estimates(fps[i], shingles[i], fps[other], shingles[other])
+        known = np.flatnonzero(value >= sure)
+        pivots, once = np.unique(root[star[other[known]]], return_index=True)
+        for r, k in zip(pivots.tolist(), known[once].tolist(), strict=True):
+            found.append((np.array([i]), other[k : k + 1], value[k : k + 1]))
+            root[root == r] = root[star[i]]
+        may = (value >= least) & (root[star[other]] != root[star[i]])
+        unsure.append((np.full(may.sum(), i), other[may], value[may]))
+    for i, j, value in unsure:
+        apart = root[star[i]] != root[star[j]]
+        found.append((i[apart], j[apart], value[apart]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _verified(least: float, sure: float):
+    """Pairs a < b of each bucket that by the whole fingerprints may be similar, with the estimate; only sure pairs make others redundant."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, node, shingles, fp in _whole_buckets(batches, ("bucket", "node", "size", "fp")):
+            fps, shingles = np.frombuffer(b"".join(fp), "<u8").reshape(len(bucket), -1), shingles.astype(float)
+            first, size = _runs(bucket)
+            found = [_small_pairs(bucket, size, fps, shingles, least, sure)]
+            for a, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+                i, j, value = similar_pairs(fps[a : a + n], shingles[a : a + n], least, sure)
+                found.append((i + a, j + a, value))
+            i, j, value = (np.concatenate(x) for x in zip(*found, strict=True))
+            x, y = node[i], node[j]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(value)], ["a", "b", "value"])
 
     return run
 
@@ -402,14 +522,17 @@ def near_duplicates(docs: DataFrame, *, shingle: int = NEAR_SHINGLE, similarity:
     bits = 64 * words
     sample = sampled(nodes.select("fp"), "fp") if n else np.zeros((0, bits))
     parts = [(g, 0) for g in grouped_bits(sample, bits // width)] if n else []
-    # a bucket is compared by one word of the fingerprint: at the similarity it differs in 15 % of bits, by chance in half
+    # rows whose first word differs too much from all others of a bucket leave it (at the similarity 15 % of bits differ, by chance half);
+    # the others' pairs are estimated on whole fingerprints before any is found redundant
     angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
     limit = round(64 * angle + 3.6 * math.sqrt(64 * angle * (1 - angle)))
     mark = F.conv(F.hex(F.substring("fp", 1, 8)), 16, -10).cast("long")
     ready = nodes.select("node", mark.alias("mark"), "fp")
-    pairs = S.stored(links(ready, parts, limit, middle=False).distinct(), "near-pairs")
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"n{c}"), F.col("fp").alias(f"f{c}"))
-    likely = S.stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_estimated(similarity - MARGIN), "a long, b long, value double"), "near-likely")
+    keys = ready.mapInArrow(_keys(parts), "bucket long, node long, mark long").repartition("bucket").sortWithinPartitions("bucket", "node")
+    met = keys.mapInArrow(_meeting(limit), "bucket long, node long")
+    whole = met.join(nodes.select("node", "size", "fp"), "node").select("bucket", "node", "size", "fp")
+    pairs = whole.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_verified(similarity - MARGIN, similarity + MARGIN), "a long, b long, value double")
+    likely = S.stored(pairs.groupBy("a", "b").agg(F.max("value").alias("value")), "near-likely")
     sure = likely.where(F.col("value") >= similarity + MARGIN).select("a", "b")
     # pairs near the bound are compared by their texts, unless sure ones connect them already
     known = S.stored(components(sure), "near-known")

@@ -236,3 +236,52 @@ def test_near_duplicates(spark):
     rows = [(i, " ".join(w)) for i, w in enumerate([base, *near, *far, far[0]])] + [(None, "no id"), (None, "no id")]
     kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted([(False, 0), *[(False, 1 + len(near) + i) for i in range(20)], (True, 0), (True, 0)])
+
+
+def jaccard(x, y):
+    one, two = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (x, y))
+    return len(one & two) / len(one | two)
+
+
+@pytest.mark.parametrize("n", [12, 60])
+def test_near_duplicates_in_a_template(spark, n):
+    rng = random.Random(n)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    template = [word() for _ in range(260)]
+    texts = []
+    for _ in range(n):
+        own = [word() for _ in range(65)]
+        copy = [word() if i in (9, 20, 31, 42) else w for i, w in enumerate(own)]
+        texts += [[*template, *own], [*template, *copy]]
+    rng.shuffle(texts)
+    label = list(range(len(texts)))
+    pairs = [(i, j, jaccard(texts[i], texts[j])) for i in range(len(texts)) for j in range(i)]
+    assert {0.8 <= s for *_, s in pairs} == {True, False} and min(s for *_, s in pairs) > 0.6
+    for _ in texts:
+        for i, j, s in pairs:
+            if s >= 0.8:
+                label[i] = label[j] = min(label[i], label[j])
+    found = simhash.near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))
+    assert {r.doc_id: r.keeper for r in found.collect()} == dict(enumerate(label))
+
+
+def test_similar_pairs_connect():
+    rng = np.random.default_rng(4)
+    heads = rng.integers(0, 2, (6, 1024))
+    rows = np.concatenate([heads[rng.integers(0, 3, 90)], heads[3:], heads[:3]])
+    rows ^= rng.random(rows.shape) < rng.choice([0.01, 0.06], (len(rows), 1))
+    fps, sizes = np.packbits(rows, axis=1, bitorder="little").view("<u8"), np.full(len(rows), 300.0)
+    i, j, value = simhash.similar_pairs(fps, sizes, 0.68, 0.92)
+    group = np.arange(len(rows))
+    exact = [(a, b, simhash._estimates(fps[a], sizes[a], fps[b], sizes[b])) for a in range(len(rows)) for b in range(a)]
+    for _ in rows:
+        for a, b, v in exact:
+            if v >= 0.92:
+                group[a] = group[b] = min(group[a], group[b])
+    ours = np.arange(len(rows))
+    for _ in rows:
+        for a, b in zip(i[value >= 0.92], j[value >= 0.92], strict=True):
+            ours[a] = ours[b] = min(ours[a], ours[b])
+    assert (ours == group).all()
+    unsure = {(max(a, b), min(a, b)) for a, b in zip(i[value < 0.92].tolist(), j[value < 0.92].tolist(), strict=True)}
+    assert {(a, b) for a, b, v in exact if 0.68 <= v < 0.92 and group[a] != group[b]} == unsure
