@@ -33,8 +33,8 @@ CONSISTENCY = 3.03
 PRIOR = 50.0
 #: Least standard deviation of word length, symbols, repeated lines, repeated words, each as transformed.
 FLOOR = (0.08, 0.06, 0.2, 0.2)
-#: Chi-square bound with four degrees of freedom: about 1 in 10^8 normal vectors lies beyond.
-BOUND = 43.0
+#: Chi-square bound with four degrees of freedom: 1 in 1000 normal vectors lies beyond.
+BOUND = 18.47
 P = range(4)
 PAIRS = [(i, j) for i in P for j in range(i + 1)]
 

@@ -285,3 +285,13 @@ def test_similar_pairs_connect():
     assert (ours == group).all()
     unsure = {(max(a, b), min(a, b)) for a, b in zip(i[value < 0.92].tolist(), j[value < 0.92].tolist(), strict=True)}
     assert {(a, b) for a, b, v in exact if 0.68 <= v < 0.92 and group[a] != group[b]} == unsure
+
+
+def test_quality_rejects_symbols_between_words(spark):
+    rng = random.Random(9)
+    good = [" ".join("x" * rng.randint(3, 7) + str(rng.randint(0, 10**6)) for _ in range(120)) for _ in range(200)]
+    junk = [" | ".join("x" * rng.randint(5, 9) + str(rng.randint(0, 10**6)) for _ in range(120)) for _ in range(5)]
+    rows = [(i, t, "en", "a") for i, t in enumerate([*good, *junk])]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [got[i].kept for i in range(205)] == [True] * 200 + [False] * 5
