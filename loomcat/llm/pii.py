@@ -41,10 +41,10 @@ GATES = {"email": F.contains, "ip": F.rlike, "card": F.rlike, "phone": F.contain
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": "+"}
 #: Kinds of candidates beyond the base ones, by the wide pattern's alternatives.
 WIDE = {
-    "secret": r"(?i:(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key)\x20?[=:]\x20?[^\x20\x09-\x0D]{6,200}+)",
+    "secret": r"(?i:(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key)\x20?[=:]\x20?[^\x20\x09-\x0D]{6,}+)",
     "id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "call": r"(?<![0-9+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
-    "hidden": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:\[at\]|\(at\))\x20?[A-Za-z0-9-]{1,63}+(?:(?:\.|\x20?\[dot\]\x20?|\x20?\(dot\)\x20?)[A-Za-z0-9-]{1,63}+){1,8}+",
+    "hidden": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\[at\]|\(at\))\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?\[dot\]\x20?|\x20?\(dot\)\x20?)[A-Za-z0-9-]++)++",
 }
 WIDE_HINT = r"(?i:[=:]\x20?[^\x20]|[0-9]{3}-[0-9]|[0-9][\x20.-][0-9]{4}|[\[(]at[\])])"
 ALL = KINDS + tuple(WIDE)

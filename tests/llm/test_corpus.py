@@ -295,3 +295,10 @@ def test_quality_rejects_symbols_between_words(spark):
     got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert not any(r.base_failed for r in got.values())
     assert [got[i].kept for i in range(205)] == [True] * 200 + [False] * 5
+
+
+def test_long_secrets_and_hidden_addresses_are_one_span(spark):
+    texts = ["password: " + "aB3" * 200, "x" * 80 + " [at] " + ".".join(["label" * 20] + ["sub"] * 12) + ".org", "me (at) a (dot) b (dot) com"]
+    table = spark.createDataFrame([(i, f"see {t} end") for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in pii.candidates(table).collect():
+        assert (4, 4 + len(texts[r.doc_id])) in [(s.start, s.end) for s in r.spans]
