@@ -7,8 +7,8 @@ below its source's threshold, which is found digit by digit so that the words ta
 come to within about one document of the target.
 
 Cases: a null source is a source of its own, last in order; a null text has size 0;
-an empty table gives no rows; equal rows share one hash and are taken alike; other
-columns are ignored.
+an empty table gives no rows; rows with one id are dealt by their texts, and equal
+rows by their number among them; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from __future__ import annotations
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _shared as S
@@ -83,8 +84,23 @@ def sources_of(sized: DataFrame) -> list:
     return sorted(((r.source, r.size) for r in rows), key=lambda r: (r[0] is None, r[0] or ""))
 
 
-def _hash(seed: int):
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), 1)
+def _hashed(docs: DataFrame, seed: int, name: str = "hash") -> DataFrame:
+    """docs with the seeded hash of id and text; of rows that share it, all but the first in each source get one with their number.
+
+    Rows that differ in neither id, source nor text are alike, so their order doesn't matter to what is taken.
+    """
+    spread = lambda *c: F.shiftrightunsigned(F.xxhash64(F.lit(seed), *c), 1)
+    rows = docs.withColumn(name, spread(F.col("doc_id").cast("long"), S.text_of()))
+    twice = S.stored(rows.groupBy(name).agg(F.count("*").alias("n")).where(F.col("n") > 1).select(name), "equal-hashes")
+    n = twice.count()
+    if not n:
+        return rows
+    once = rows.join(S.small(twice, n), name, "left_anti").select(*rows.columns)
+    ordered = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    number = F.row_number().over(W.partitionBy(name, F.col("source").cast("string")).orderBy(*ordered))
+    again = rows.join(S.small(twice, n), name, "left_semi").withColumn("_number", number)
+    again = again.withColumn(name, F.when(F.col("_number") > 1, spread(name, "_number")).otherwise(F.col(name)))
+    return once.unionByName(again.select(*rows.columns))
 
 
 def _source_key():
@@ -93,8 +109,8 @@ def _source_key():
 
 def _sized(docs: DataFrame, seed: int) -> DataFrame:
     size = F.size(S.words(S.text_of())).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), _hash(seed).alias("hash"), _source_key().alias("skey"))
-    return S.stored(rows, "sizes")
+    rows = _hashed(docs.select("doc_id", "source", "text"), seed)
+    return S.stored(rows.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), "hash", _source_key().alias("skey")), "sizes")
 
 
 def _plan(sized: DataFrame, weights: tuple[int, ...], share: Fraction, epochs: int) -> DataFrame:
@@ -124,7 +140,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: Fraction
 def repeated(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
     """docs, each row as often as the mix takes it; texts are not shuffled."""
     plan = _plan(_sized(docs, seed), weights, share, epochs).withColumnRenamed("skey", "_skey")
-    out = docs.withColumns({"_hash": _hash(seed), "_key": _source_key()}).join(plan, F.col("_key") == F.col("_skey"))
+    out = _hashed(docs, seed, "_hash").withColumn("_key", _source_key()).join(plan, F.col("_key") == F.col("_skey"))
     repeats = F.col("whole") + F.when((F.col("_hash") < F.col("below")) & (F.col("whole") < epochs), 1).otherwise(0)
     copies = F.when(repeats > 0, F.sequence(F.lit(1).cast("long"), repeats.cast("long")))
     return out.select(*docs.columns, F.explode(copies).alias("_copy")).select(*docs.columns)

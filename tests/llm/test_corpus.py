@@ -302,3 +302,14 @@ def test_long_secrets_and_hidden_addresses_are_one_span(spark):
     table = spark.createDataFrame([(i, f"see {t} end") for i, t in enumerate(texts)], "doc_id long, text string")
     for r in pii.candidates(table).collect():
         assert (4, 4 + len(texts[r.doc_id])) in [(s.start, s.end) for s in r.spans]
+
+
+def test_mixing_deals_rows_with_one_id(spark):
+    rows = [(None, " ".join(f"w{i}" for i in range(k, k + 50)), "a") for k in range(200)] + [(7, "same text " * 25, "b")] * 200 + [(i, "word " * 50, "c") for i in range(200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    found = mixing.mix(table).collect()
+    for source in "abc":
+        own = [r for r in found if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 50
+    assert sorted(map(str, found)) == sorted(map(str, mixing.mix(table).collect()))
+    assert mixing.repeated(table).count() == sum(r.repeats for r in found)
