@@ -1,4 +1,4 @@
-"""Set operations and systematic samples of identifiers."""
+"""Set operations on identifiers, names and rows."""
 
 from __future__ import annotations
 
