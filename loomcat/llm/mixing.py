@@ -89,7 +89,8 @@ def _hashed(docs: DataFrame, seed: int, name: str = "hash") -> DataFrame:
 
     Rows that differ in neither id, source nor text are alike, so their order doesn't matter to what is taken.
     """
-    spread = lambda *c: F.shiftrightunsigned(F.xxhash64(F.lit(seed), *c), 1)
+    # 62 bits, so that a threshold above all hashes is a long too
+    spread = lambda *c: F.shiftrightunsigned(F.xxhash64(F.lit(seed), *c), 2)
     rows = docs.withColumn(name, spread(F.col("doc_id").cast("long"), S.text_of()))
     twice = S.stored(rows.groupBy(name).agg(F.count("*").alias("n")).where(F.col("n") > 1).select(name), "equal-hashes")
     n = twice.count()

@@ -313,3 +313,9 @@ def test_mixing_deals_rows_with_one_id(spark):
         assert abs(sum(r.taken for r in own) - own[0].target) <= 50
     assert sorted(map(str, found)) == sorted(map(str, mixing.mix(table).collect()))
     assert mixing.repeated(table).count() == sum(r.repeats for r in found)
+
+
+def test_mixing_threshold_above_all_hashes(spark):
+    table = spark.createDataFrame([(i, f"w{i}", "a") for i in range(500)], "doc_id long, text string, source string")
+    top = mixing._hashed(table, mixing.SEED).agg(F.max("hash")).first()[0]
+    assert ((top >> 56) + 1) << 56 < 1 << 63
