@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,21 +18,50 @@ BLANKS = " \t\n\x0b\x0c\r"
 CODEC = "zstd"
 
 
+#: Work folders made so far, in order.
+_MADE: list[str] = []
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share (spark.checkpoint.dir).
 
-    Only where that setting is absent, as in tests, a local folder takes its place.
+    Only where that setting is absent and Spark runs on this machine alone, as in tests, a
+    local folder takes its place until the process ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='loomcat-')}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="loomcat-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        base = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def mark() -> int:
+    """How many work folders there are, for release()."""
+    return len(_MADE)
+
+
+def release(spark: SparkSession, since: int, keep: Iterable[str] = ()) -> None:
+    """Deletes the work folders made since a mark, but those to keep; nothing may read them any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    kept = set(keep)
+    for path in [p for p in _MADE[since:] if p not in kept]:
+        root = jvm.org.apache.hadoop.fs.Path(path)
+        root.getFileSystem(conf).delete(root, True)
+    _MADE[since:] = [p for p in _MADE[since:] if p in kept]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, so that later steps neither repeat nor lose it."""
-    path = work_folder(df.sparkSession, name)
+    return saved(df, work_folder(df.sparkSession, name))
+
+
+def saved(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", CODEC).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -72,3 +104,18 @@ BROADCAST_ROWS = 50_000
 
 def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+#: Copies of a keyed row that a join with hot keys deals its partners over.
+SALTS = 32
+#: A key is hot that holds more than this share of all rows; so there are at most 1 / share of them.
+HOT_SHARE = 1e-4
+
+
+def keyed(rows: DataFrame, few: DataFrame, key: list[str], n: int) -> DataFrame:
+    """rows joined with few (n rows, one a key): sent to all tasks if it is small, else copied SALTS times so that no key is one task's."""
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(few), key)
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", salt).join(copies, [*key, "_salt"]).drop("_salt")

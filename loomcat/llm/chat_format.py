@@ -1,16 +1,17 @@
 """Chat formatting in windows of a token budget.
 
-A turn is an opening mark, its escaped text and a closing mark. Windows are chosen on
-prefix sums of turn tokens: each takes the turns that are still to come as long as they
-fit beside the system turn and HISTORY turns repeated from before, and at least one.
-The loss mask covers each assistant text in the one window where it is new; repeated
-turns are masked.
+A turn is an opening mark, its escaped text and a closing mark. Prefix sums of the turns'
+tokens and characters are taken over each conversation. A window repeats the system turn
+and at most HISTORY turns from before, as many as fit the budget beside its first new turn,
+and takes new turns as long as they fit. Only where the first new turn and the system turn
+pass the budget by themselves is a window longer, and then it has no other turn. The loss
+mask covers each assistant text in the one window where it is new; repeated turns are masked.
 
 Escaping puts one `&` behind the first character of whatever is or looks like an
 escaped mark; unescaping takes one away. So no mark occurs within a text.
 
 Only DataFrame functions run. A conversation is one row of windows, as its digests are
-over all its turns; conversations are dealt out by id.
+over all its turns; conversations are dealt out by id. Work is linear in the turns.
 
 Cases: a null text is empty; a null turn comes first; equal turn numbers are ordered by
 role and text, repeated rows are kept; a null role is written as an empty one; roles
@@ -21,6 +22,7 @@ like any other; an empty table gives only the added conversation; other columns
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _shared as S
@@ -54,61 +56,56 @@ def marked(role: Column, text: Column) -> Column:
     return out
 
 
-def _starts(tokens: Column, system: Column, budget: int, history: int) -> Column:
-    """The first new turn of each window, from the turns' tokens; system: 1 if the first turn is a system turn."""
+def _starts(turns: Column, lead: Column, system: Column, budget: int, history: int) -> Column:
+    """(first, back) of each window: its first new turn and its first repeated one; lead: tokens of the system turn."""
     start = F.struct(
-        F.array(F.lit(0)).alias("starts"),  # windows so far
-        F.lit(0).cast("long").alias("used"),  # tokens of the last, repeated turns included
-        F.lit(0).alias("i"),
+        F.array(F.struct(F.lit(0).alias("first"), F.lit(0).alias("back"))).alias("starts"),
+        F.lit(0).cast("long").alias("base"),  # the last window holds a turn's prefix sum less this
     )
 
-    def step(a: Column, n: Column) -> Column:
-        i = a["i"]
-        fits = (i == F.element_at(a["starts"], -1)) | (a["used"] + n <= budget)
-        back = F.greatest(i - history, system)
-        again = F.aggregate(F.slice(tokens, back + 1, i - back), F.lit(0).cast("long"), lambda s, x: s + x) + F.when(system == 1, F.get(tokens, F.lit(0))).otherwise(F.lit(0).cast("long"))
-        return F.struct(
-            F.when(fits, a["starts"]).otherwise(F.concat(a["starts"], F.array(i))).alias("starts"),
-            F.when(fits, a["used"] + n).otherwise(again + n).alias("used"),
-            (i + 1).alias("i"),
-        )
+    def step(a: Column, t: Column) -> Column:
+        i = t["i"] - 1
+        before = lambda at: F.get(turns, at)["tokens_to"] - F.get(turns, at)["tokens"]
+        fits = (i == F.element_at(a["starts"], -1)["first"]) | (t["tokens_to"] - a["base"] <= budget)
+        back = F.coalesce(*[F.when((i - h >= system) & (lead + t["tokens_to"] - before(i - h) <= budget), i - h) for h in range(history, 0, -1)], i)
+        return F.when(fits, a).otherwise(F.struct(F.concat(a["starts"], F.array(F.struct(i.alias("first"), back.alias("back")))).alias("starts"), (before(back) - lead).alias("base")))
 
-    return F.aggregate(tokens, start, step)["starts"]
+    return F.aggregate(turns, start, step)["starts"]
 
 
 def windows(turns: DataFrame, *, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """conv_id and windows: an array of (text, repeated, loss), loss being spans (start from 0, length) of text."""
+    """conv_id and windows: an array of (text, repeated, tokens, loss), loss being spans (start from 0, length) of text."""
     role, text = F.coalesce(F.col("role").cast("string"), F.lit("")), S.text_of()
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), role.alias("role"), text.alias("text"))
-    row = F.struct("turn", "role", "text", marked(F.col("role"), F.col("text")).alias("marked"), (F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+")).cast("long") + 2).alias("tokens"))
-    own = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("turns"))
-    own = own.withColumn("n", F.size("turns")).withColumn("system", F.when(F.get("turns", F.lit(0))["role"] == "system", 1).otherwise(0))
-    own = own.withColumn("tokens", F.transform("turns", lambda t: t["tokens"]))
-    own = own.withColumn("starts", _starts(F.col("tokens"), F.col("system"), budget, history))
-
-    def window(start: Column, k: Column) -> Column:
-        end = F.coalesce(F.get("starts", k + 1), F.col("n"))
-        back = F.greatest(start - history, F.col("system"))
-        lead = F.when((F.col("system") == 1) & (start > 0), F.slice("turns", 1, 1)).otherwise(F.slice("turns", 1, 0))
-        kept = F.when(start == 0, F.slice("turns", 1, end)).otherwise(F.concat(lead, F.slice("turns", back + 1, end - back)))
-        return F.struct(kept.alias("turns"), F.when(start == 0, F.lit(0)).otherwise(F.size(lead) + start - back).alias("repeated"))
+    rows = rows.withColumns({"marked": marked(F.col("role"), F.col("text")), "tokens": F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+")).cast("long") + 2})
+    rows = rows.withColumn("chars", F.char_length("marked").cast("long"))
+    order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
+    upto = order.rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumns({"i": F.row_number().over(order), "tokens_to": F.sum("tokens").over(upto), "chars_to": F.sum("chars").over(upto)})
+    own = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("i", "role", "marked", "tokens", "chars", "tokens_to", "chars_to"))).alias("turns"))
+    first = F.get("turns", F.lit(0))
+    own = own.withColumn("system", F.when(first["role"] == "system", 1).otherwise(0))
+    own = own.withColumn("lead", F.when(F.col("system") == 1, first["tokens"]).otherwise(F.lit(0).cast("long")))
+    own = own.withColumn("starts", _starts(F.col("turns"), F.col("lead"), F.col("system"), budget, history))
+
+    def window(s: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("starts", k + 1)["first"], F.size("turns"))
+        front = F.when((F.col("system") == 1) & (s["first"] > 0), F.slice("turns", 1, 1)).otherwise(F.slice("turns", 1, 0))
+        has = lambda c: F.when(F.size(front) > 0, first[c]).otherwise(F.lit(0).cast("long"))
+        gone = lambda c: F.get("turns", s["back"])[f"{c}_to"] - F.get("turns", s["back"])[c]
+        return F.struct(
+            F.concat(front, F.slice("turns", s["back"] + 1, end - s["back"])).alias("turns"), (F.size(front) + s["first"] - s["back"]).alias("repeated"),
+            (has("tokens") + F.get("turns", end - 1)["tokens_to"] - gone("tokens")).alias("tokens"), (has("chars") - gone("chars")).alias("shift"),
+        )
 
     own = own.withColumn("cut", F.transform("starts", window))
 
     def render(w: Column) -> Column:
         text = F.concat(F.lit(BEGIN), F.array_join(F.transform(w["turns"], lambda t: t["marked"]), ""), F.lit(END))
-        lengths = F.transform(w["turns"], lambda t: F.char_length(t["marked"]))
-        spans = F.transform(
-            w["turns"],
-            lambda t, i: F.when(
-                (i >= w["repeated"]) & (t["role"] == "assistant"),
-                F.struct(
-                    (F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda s, x: s + x) + len(BEGIN) + len(MARKS["assistant"][0])).alias("start"),
-                    (F.char_length(t["marked"]) - len("".join(MARKS["assistant"]))).alias("length"),
-                ),
-            ),
-        )
-        return F.struct(text.alias("text"), w["repeated"].alias("repeated"), F.filter(spans, lambda s: s.isNotNull()).alias("loss"))
+        new = F.filter(w["turns"], lambda t, i: (i >= w["repeated"]) & (t["role"] == "assistant"))
+        opening, marks = len(BEGIN) + len(MARKS["assistant"][0]), len("".join(MARKS["assistant"]))
+        loss = F.transform(new, lambda t: F.struct((t["chars_to"] - t["chars"] + w["shift"] + opening).cast("int").alias("start"), (t["chars"] - marks).cast("int").alias("length")))
+        return F.struct(text.alias("text"), w["repeated"].alias("repeated"), w["tokens"].alias("tokens"), loss.alias("loss"))
 
     return own.select("conv_id", F.transform("cut", render).alias("windows"))
 
@@ -136,8 +133,13 @@ def read_back(formatted: DataFrame) -> DataFrame:
     )
 
 
+def _added(spark: SparkSession) -> DataFrame:
+    """The rows of ADDED, made without a Python task."""
+    rows = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("conv_id", "turn", "role", "text"), row, strict=True)]) for row in ADDED])
+    return spark.range(1).select(F.explode(rows).alias("x")).select(F.col("x.conv_id").cast("long"), F.col("x.turn").cast("long"), "x.role", "x.text")
+
+
 def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one of control strings, formatted, stored and read back."""
-    rows = S.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    both = rows.unionByName(spark.createDataFrame(ADDED, "conv_id long, turn long, role string, text string"))
-    return read_back(S.stored(windows(both), "chat"))
+    rows = S.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    return read_back(S.stored(windows(rows.unionByName(_added(spark))), "chat"))

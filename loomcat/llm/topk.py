@@ -9,21 +9,29 @@ most significant slice of the sums downward. The lowest bits of the attributes a
 of the sums; the rows that this could hide lie within a known distance of the boundary and
 are resolved by their exact scores.
 
-Queries go to the blocks in chunks; each pair of chunk and block gives at most k rows a query.
-
-Cases: vectors that are null, or hold a null, a non-finite component or one beyond 2^27
-after scaling, take no part; shorter vectors count as ending in zeros, an empty one as all
-zeros; ties go to smaller ids; rows that share the query's id are not its candidates, and
-equal rows (id and vector) of an index count each; repeated query ids are asked once, with the
-smallest vector; an empty table gives no rows; other columns are ignored.
+Rows with a component beyond LIMIT after scaling are kept apart in their block, and such
+queries go past the slices; both are scored by Python's integers, whatever their size.
+
+Blocks stay where they are, once for each of LANES tasks; the queries go to them in chunks
+and pass through one after the other. A chunk and a block give at most k rows a query.
+
+Cases: vectors that are null, or hold a null or a non-finite component, take no part; scores
+that a long can't hold are ranked exactly and written as the nearest long; shorter vectors
+count as ending in zeros, an empty one as all zeros; ties go to smaller ids; rows that share the
+query's id are not its candidates, and equal rows (id and vector) of an index count each;
+repeated query ids are asked once, with one of their vectors; rows without an id take no part;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,39 +39,59 @@ from pyspark.sql import functions as F
 from . import _shared as S
 
 SCALE, K, EVERY = 1024, 10, 100
-LIMIT = float(1 << 27)
-#: Rows of an index block (about; ids are dealt by hash) and queries of a chunk.
-BLOCK, CHUNK = 32_768, 64
+#: Components up to this size after scaling go into slices; sums over any number of them below 2^19 fit a long.
+LIMIT = float(1 << 22)
+#: Rows of an index block (about; ids are dealt by hash), queries of a chunk, and tasks that share a block's queries.
+BLOCK, CHUNK, LANES = 32_768, 64, 4
 #: Lowest bits of the attributes that the sums leave out.
 DROPPED = 2
-BLOCKS = "block int, part binary, n int, dims int"
-HITS = "query_id long, vec_id long, score long"
+BLOCKS = "block int, part binary, n int, dims int, wide binary, n_wide int, dims_wide int"
+HITS = "query_id long, vec_id long, score long, sorted binary"
+LONG = (1 << 63) - 1
 
 
 def quantised(rows: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id and q: floor(scale * x) of the vectors that take part."""
-    x = F.transform(F.col("embedding"), lambda v: F.floor(F.lit(scale) * v.cast("double")))
-    fits = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) * scale < LIMIT))
-    return rows.where(F.col("embedding").isNotNull()).where(fits).select(F.col("vec_id").cast("long"), x.cast("array<int>").alias("q"))
+    """vec_id and q: floor(scale * x) of the vectors that take part; where a component is beyond LIMIT, q is null and x holds them all."""
+    x = F.transform(F.col("embedding"), lambda v: v.cast("double"))
+    finite = F.forall("_x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    narrow = F.forall("_x", lambda v: F.abs(v) * scale < LIMIT)
+    q = F.when(narrow, F.transform("_x", lambda v: F.floor(F.lit(scale) * v).cast("int")))
+    own = rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long"), x.alias("_x")).where(finite)
+    return own.select("vec_id", q.alias("q"), F.when(~narrow, F.col("_x")).alias("x"))
+
+
+def exact(x: np.ndarray, scale: int = SCALE) -> list[int]:
+    """floor(scale * x) as Python integers."""
+    return [math.floor(scale * v) if math.isfinite(scale * v) else scale * int(v) for v in x.tolist()]
+
 
+def sortable(n: int) -> bytes:
+    """Bytes in the order of the integers: sign and length, then the magnitude (its complement below zero)."""
+    size = (abs(n).bit_length() + 7) // 8
+    if n >= 0:
+        return (0x8000 + size).to_bytes(2, "big") + n.to_bytes(size, "big")
+    return (0x8000 - size).to_bytes(2, "big") + (256**size - 1 + n).to_bytes(size, "big")
 
-def _matrix(lists: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
+
+def _matrix(lists: pa.ChunkedArray | pa.Array, kind: type) -> np.ndarray:
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     sizes = np.diff(lists.offsets.to_numpy())
-    out = np.zeros((len(lists), dims), np.int64)
-    mask = np.arange(dims) < sizes[:, None]
+    out = np.zeros((len(lists), int(max(sizes, default=0))), kind)
+    mask = np.arange(out.shape[1]) < sizes[:, None]
     out[mask] = lists.flatten().to_numpy(zero_copy_only=False)
     return out
 
 
-def _block(batch: pa.Table) -> pa.Table:
+def _block(table: pa.Table) -> pa.Table:
     """One row with the block's ids and vectors."""
-    lists = batch.column("q").combine_chunks()
-    dims = int(max(np.diff(lists.offsets.to_numpy()), default=0))
-    ids, data = batch.column("vec_id").to_numpy().astype("<i8"), _matrix(lists, dims).astype("<i4")
-    order = np.argsort(ids, kind="stable")
-    part = ids[order].tobytes() + data[order].tobytes()
-    return pa.table({"block": batch.column("block").slice(0, 1).cast(pa.int32()), "part": pa.array([part], pa.binary()), "n": pa.array([len(ids)], pa.int32()), "dims": pa.array([dims], pa.int32())})
+    narrow = pc.is_valid(table.column("q"))
+    out = {"block": table.column("block").slice(0, 1).cast(pa.int32())}
+    for own, column, kind, names in ((table.filter(narrow), "q", "<i4", ("part", "n", "dims")), (table.filter(pc.invert(narrow)), "x", "<f8", ("wide", "n_wide", "dims_wide"))):
+        ids, data = own.column("vec_id").to_numpy().astype("<i8"), _matrix(own.column(column), kind)
+        order = np.argsort(ids, kind="stable")
+        values = (ids[order].tobytes() + data[order].tobytes(), len(ids), data.shape[1])
+        out |= {k: pa.array([v], t) for k, v, t in zip(names, values, (pa.binary(), pa.int32(), pa.int32()), strict=True)}
+    return pa.table(out)
 
 
 class BitSlices:
@@ -159,33 +187,53 @@ class BitSlices:
         return rows[order], scores[order]
 
 
+class Block:
+    """A block's slices, and its rows that are too wide for them."""
+
+    def __init__(self, row: dict) -> None:
+        ids = lambda part, n: np.frombuffer(part, "<i8", n)
+        self.ids = ids(row["part"], row["n"])
+        self.index = BitSlices(np.frombuffer(row["part"], "<i4", offset=8 * row["n"]).reshape(row["n"], row["dims"]).astype(np.int64))
+        self.wide_ids = ids(row["wide"], row["n_wide"]).tolist()
+        self.wide = [exact(x) for x in np.frombuffer(row["wide"], "<f8", offset=8 * row["n_wide"]).reshape(row["n_wide"], row["dims_wide"])]
+
+    def top(self, query: dict, k: int) -> list[tuple[int, int]]:
+        """(score, id) of the k best rows for a query (vec_id, q or x)."""
+        own, vector = query["vec_id"], query["q"] if query["q"] is not None else exact(np.array(query["x"]))
+        dims = self.index.data.shape[1]
+        if query["q"] is not None:
+            padded = np.zeros(dims, np.int64)
+            padded[: len(vector[:dims])] = vector[:dims]
+            skip = np.arange(np.searchsorted(self.ids, own, "left"), np.searchsorted(self.ids, own, "right"))
+            rows, scores = self.index.top(padded, k, skip)
+            found = list(zip(scores.tolist(), self.ids[rows].tolist(), strict=True))
+        else:
+            padded = np.array([*vector[:dims], *[0] * (dims - len(vector))], object)
+            scores = self.index.data.astype(object) @ padded if self.index.n else []
+            found = [(s, i) for s, i in zip(scores, self.ids.tolist(), strict=True) if i != own]
+        found += [(sum(a * b for a, b in zip(vector, row, strict=False)), i) for row, i in zip(self.wide, self.wide_ids, strict=True) if i != own]
+        return heapq.nsmallest(k, found, key=lambda x: (-x[0], x[1]))
+
+
 def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, BitSlices, np.ndarray] | None = None
+        held: tuple[int, Block] | None = None
         for batch in batches:
             for i in range(batch.num_rows):
-                block, n, dims = (batch.column(c)[i].as_py() for c in ("block", "n", "dims"))
-                if held is None or held[0] != block:
-                    part = batch.column("part")[i].as_py()
-                    ids = np.frombuffer(part, "<i8", n)
-                    held = (block, BitSlices(np.frombuffer(part, "<i4", n * dims, 8 * n).reshape(n, dims).astype(np.int64)), ids)
-                _, index, ids = held
-                out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                for q in batch.column("queries")[i].as_py():
-                    vector = np.zeros(dims, np.int64)
-                    own = np.array(q["q"][:dims], np.int64)
-                    vector[: len(own)] = own
-                    a, b = np.searchsorted(ids, q["vec_id"], "left"), np.searchsorted(ids, q["vec_id"], "right")
-                    rows, scores = index.top(vector, k, np.arange(a, b))
-                    out.append((np.full(len(rows), q["vec_id"], np.int64), ids[rows], scores))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                if row["queries"] is None:
+                    held = (row["block"], Block(row))
+                elif held and held[0] == row["block"]:  # a number without rows has no block
+                    out = [(q["vec_id"], own, max(-LONG - 1, min(LONG, score)), sortable(score)) for q in row["queries"] for score, own in held[1].top(q, k)]
+                    if out:
+                        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["query_id", "vec_id", "score", "sorted"])
 
     return run
 
 
 def build_index(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Stored blocks of about so many rows of rows (vec_id, q)."""
+    """Stored blocks of about so many rows of rows (vec_id, q, x)."""
     S.importable(rows.sparkSession)
     blocks = max(1, -(-rows.count() // block))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
@@ -193,15 +241,18 @@ def build_index(rows: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def search(index: DataFrame, queries: DataFrame, *, k: int = K, chunk: int = CHUNK) -> DataFrame:
-    """query_id, rank, vec_id and score of the k best rows for each of queries (vec_id, q)."""
-    blocks = [r.block for r in index.select("block").collect()]  # one number a block
-    once = queries.groupBy("vec_id").agg(F.min("q").alias("q"))
+    """query_id, rank, vec_id and score of the k best rows for each of queries (vec_id, q, x)."""
+    last = index.agg(F.max("block")).first()[0]
+    once = queries.groupBy("vec_id").agg(F.min(F.struct("q", "x")).alias("v")).select("vec_id", "v.q", "v.x")
     chunks = max(1, -(-queries.count() // chunk))
-    packed = once.groupBy(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(chunks)).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "q"))).alias("queries"))
-    asked = packed.withColumn("block", F.explode(F.array(*[F.lit(b) for b in blocks]).cast("array<int>")))
-    both = asked.join(index, "block").repartition(F.col("block"), F.col("chunk")).select("block", "part", "n", "dims", "queries")
+    number = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(chunks)).cast("int")
+    packed = S.stored(once.groupBy(number.alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "q", "x"))).alias("queries")), "query-chunks")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n)))
+    asked = packed.withColumn("lane", F.pmod("chunk", F.lit(LANES))).withColumn("block", every(last or 0))
+    lanes = index.withColumns({"lane": every(LANES - 1), "chunk": F.lit(-1)})
+    both = lanes.unionByName(asked, allowMissingColumns=True).repartition("block", "lane").sortWithinPartitions("block", "lane", "chunk")
     hits = both.mapInArrow(_search(k), HITS)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("sorted"), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
