@@ -15,7 +15,8 @@ those of the plain patterns, in time linear in the text, without deep recursion.
 
 Cases: a null or empty text has no spans; equal rows get equal spans; long runs of digits
 or letters are one match at most; without candidates nothing is trained and nothing added;
-an empty table gives no rows; other columns are ignored.
+an empty table gives no rows; other columns, whatever their names, are kept by `redact` and
+ignored by `detect`.
 """
 
 from __future__ import annotations
@@ -262,12 +263,15 @@ def detect(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with each span replaced by its kind in brackets; overlapping spans are replaced together."""
-    weights = fit(S.stored(candidates(docs), "pii"))
-    columns = tuple(c for c in docs.columns if c != "doc_id")
-    found = candidates(docs, columns).withColumn("_spans", accepted(F.col("spans"), weights))
+    """docs with each span replaced by its kind in brackets; overlapping spans are replaced together.
+
+    Texts are searched once: the rows are stored with their spans, which are then read for the training by themselves.
+    """
+    everything = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = S.stored(candidates(docs.select(F.col("doc_id"), everything.alias("row"), "text"), ("row",)), "pii-rows")
+    weights = fit(rows)
     kinds = F.array(*[F.lit(f"[{k.upper()}]") for k in ALL])
-    text = S.text_of()
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
@@ -277,9 +281,10 @@ def redact(docs: DataFrame) -> DataFrame:
             F.when(new, F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.get(kinds, s["kind"]))).otherwise(a["out"]).alias("out"),
         )
 
-    done = F.aggregate("_spans", start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.char_length(text))))
-    out = found.withColumn("text", F.when(F.size("_spans") > 0, done).otherwise(F.col("text")))
-    return out.select(*docs.columns)
+    found = rows.select("row", accepted(F.col("spans"), weights).alias("spans"))
+    done = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.char_length(text))))
+    safe = F.when(F.size("spans") > 0, done).otherwise(F.col("row.text"))
+    return found.select(*[safe.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
