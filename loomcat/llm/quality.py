@@ -1,31 +1,45 @@
 """Quality rules: word and line counts, then robust outliers per language and source.
 
-Each document gives a vector of four transformed statistics. Per (lang, source)
-a minimum-covariance-determinant estimate is reached by concentration steps: mean and
-covariance of the half of the documents nearest to the last estimate, from the
-coordinate-wise median on. A group's covariance is drawn to its language's by
-PRIOR documents and has a least scale in each direction, so small or constant
-groups need no rule of their own. A document is rejected when its squared Mahalanobis
-distance passes the chi-square bound.
-
-Only DataFrame functions run; estimates are joined to the rows, never collected.
+Each document gives a vector of four transformed statistics. Per (lang, source) a
+minimum-covariance-determinant estimate is reached by concentration steps: mean and
+covariance of the half of the documents nearest to the last estimate. Steps run from
+three starts side by side (medians with least scales, medians with quartile ranges, mean
+and covariance of all) until no group's determinant falls any more, and of each group's
+estimates the one with the least determinant stays. A group's covariance is
+drawn to its language's by PRIOR documents and has a least scale in each direction, so
+small or constant groups need no rule of their own. A document is rejected when its squared
+Mahalanobis distance passes the chi-square bound.
+
+Only DataFrame functions run. The half is found on counts of distances by buckets, at most
+some thousand a group; estimates are joined to the rows, sent to all tasks if they
+are few (counted) or else copied so that no group is one task's. One number a step
+reaches the driver.
 
 Cases: a null text has no words; a null language or source is a group of its own; equal
-documents get equal verdicts; an empty table gives no rows; other columns are ignored.
-Words in repeated windows are found by 64-bit fingerprints of the windows.
+documents get equal verdicts, and so do rows with one id or none; an empty table gives no
+rows; other columns are ignored. Words in repeated windows are found by 64-bit
+fingerprints of the windows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _shared as S
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
-#: Concentration steps; the determinant falls with each and has settled by then.
-STEPS = 4
+#: Concentration steps at most; the determinants settle long before.
+STEPS = 20
+#: A determinant's logarithm that falls by less has settled.
+SETTLED = 1e-6
+STARTS = range(3)
+#: Buckets of distances for each doubling.
+FINE = 256
 #: Share of a group that an estimate rests on.
 SUPPORT = 0.5
 #: Covariance of the nearest half against that of all rows, for a normal vector of four: 1 / P(chi2_6 <= median of chi2_4).
@@ -77,19 +91,31 @@ def vector() -> list[Column]:
     return [F.log((F.col("word_chars") + 500.0) / (F.col("n_words") + 100.0)), share("n_symbols", "word_chars"), share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words")]
 
 
-def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """n, means m_i and covariances c_i_j of rows by keys (partial sums before the shuffle)."""
-    sums = rows.groupBy(*keys).agg(F.count("*").cast("double").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in P], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in PAIRS])
-    mean = [(F.col(f"s{i}") / F.col("n")) for i in P]
-    return sums.select(*keys, "n", *[mean[i].alias(f"m{i}") for i in P], *[(F.col(f"q{i}{j}") / F.col("n") - mean[i] * mean[j]).alias(f"c{i}{j}") for i, j in PAIRS])
+KEYS = ["lkey", "skey"]
+MEANS, COVARIANCES, ROOTS = [f"m{i}" for i in P], [f"c{i}{j}" for i, j in PAIRS], [f"l{i}{j}" for i, j in PAIRS]
+
+
+def _moments(rows: DataFrame, within: list[Column]) -> DataFrame:
+    """lkey, skey, k, n, means and covariances of the rows within each start's half (partial sums before the shuffle)."""
+    names = ["n", *[f"s{i}" for i in P], *[f"q{i}{j}" for i, j in PAIRS]]
+    values = [F.lit(1.0), *[F.col(f"x{i}") for i in P], *[F.col(f"x{i}") * F.col(f"x{j}") for i, j in PAIRS]]
+    sums = rows.groupBy(*KEYS).agg(*[F.sum(F.when(own, v).otherwise(0.0)).alias(f"{c}_{k}") for k, own in enumerate(within) for c, v in zip(names, values, strict=True)])
+    each = F.array(*[F.struct(F.lit(k).alias("k"), *[F.col(f"{c}_{k}").alias(c) for c in names]) for k in range(len(within))])
+    flat = sums.select(*KEYS, F.explode(each).alias("e")).select(*KEYS, "e.*")
+    mean = [F.col(f"s{i}") / F.col("n") for i in P]
+    return flat.select(*KEYS, "k", "n", *[mean[i].alias(f"m{i}") for i in P], *[(F.col(f"q{i}{j}") / F.col("n") - mean[i] * mean[j]).alias(f"c{i}{j}") for i, j in PAIRS])
 
 
-def _root(groups: DataFrame, wide: DataFrame) -> DataFrame:
-    """Estimates with l_i_j, the Cholesky root of the group's covariance drawn to its language's, with least scales."""
-    names = [f"m{i}" for i in P] + [f"c{i}{j}" for i, j in PAIRS]
-    both = groups.join(wide.select(F.col("lkey").alias("_l"), *[F.col(c).alias(f"w_{c}") for c in names]), F.col("lkey") == F.col("_l"))
+def _root(groups: DataFrame) -> DataFrame:
+    """Estimates with l_i_j, the Cholesky root of the group's covariance drawn to its language's, with least scales, and the determinant's logarithm."""
+    # a language's moments from its groups' moments
+    total = lambda c: F.sum(F.col("n") * c)
+    second = [total(F.col(f"c{i}{j}") + F.col(f"m{i}") * F.col(f"m{j}")).alias(f"w_c{i}{j}") for i, j in PAIRS]
+    wide = groups.groupBy("lkey", "k").agg(F.sum("n").alias("w_n"), *[total(F.col(c)).alias(f"w_{c}") for c in MEANS], *second)
+    wide = wide.withColumns({f"w_{c}": F.col(f"w_{c}") / F.col("w_n") for c in MEANS + COVARIANCES})
+    wide = wide.withColumns({f"w_c{i}{j}": F.col(f"w_c{i}{j}") - F.col(f"w_m{i}") * F.col(f"w_m{j}") for i, j in PAIRS})
     own = F.col("n") / (F.col("n") + PRIOR)
-    both = both.withColumns({c: own * F.col(c) + (1 - own) * F.col(f"w_{c}") for c in names})
+    both = groups.join(wide, ["lkey", "k"]).withColumns({c: own * F.col(c) + (1 - own) * F.col(f"w_{c}") for c in MEANS + COVARIANCES})
     cov = {(i, j): CONSISTENCY * F.col(f"c{i}{j}") + (FLOOR[i] ** 2 if i == j else 0.0) for i, j in PAIRS}
     for j in P:
         diagonal = cov[j, j]
@@ -101,35 +127,48 @@ def _root(groups: DataFrame, wide: DataFrame) -> DataFrame:
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             both = both.withColumn(f"l{i}{j}", rest / F.col(f"l{j}{j}"))
-    return both.select("lkey", "skey", *[f"m{i}" for i in P], *[f"l{i}{j}" for i, j in PAIRS])
+    return both.select(*KEYS, "k", *MEANS, *ROOTS, sum((F.log(f"l{i}{i}") for i in P), F.lit(0.0)).alias("size"))
 
 
-def _distance(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    out = rows.join(roots, ["lkey", "skey"])
+def _squared(of: Callable[[str], Column]) -> Column:
+    """Squared Mahalanobis distance of x0 to x3; of: the estimate's values by name."""
+    z: list[Column] = []
     for i in P:
-        z = F.col(f"x{i}") - F.col(f"m{i}")
+        rest = F.col(f"x{i}") - of(f"m{i}")
         for k in range(i):
-            z = z - F.col(f"l{i}{k}") * F.col(f"z{k}")
-        out = out.withColumn(f"z{i}", z / F.col(f"l{i}{i}"))
-    return out.withColumn("d2", sum((F.col(f"z{i}") * F.col(f"z{i}") for i in P), F.lit(0.0))).drop(*roots.columns[2:], *[f"z{i}" for i in P])
-
-
-def estimates(rows: DataFrame) -> DataFrame:
-    """Robust mean and covariance root for each (lkey, skey) of rows with x0 to x3."""
-    keys = ["lkey", "skey"]
-    middle = rows.groupBy(*keys).agg(*[F.percentile_approx(f"x{i}", 0.5, 10_000).alias(f"m{i}") for i in P])
-    near = rows.join(middle, keys).withColumn("d2", sum((((F.col(f"x{i}") - F.col(f"m{i}")) / FLOOR[i]) ** 2 for i in P), F.lit(0.0))).drop(*[f"m{i}" for i in P])
-    roots = None
-    for _ in range(STEPS):
-        cut = near.groupBy(*keys).agg(F.percentile_approx("d2", SUPPORT, 10_000).alias("cut"))
-        half = near.join(cut, keys).where(F.col("d2") <= F.col("cut"))
-        groups = S.stored(_moments(half, keys), "quality-groups")
-        # a language's moments from its groups' moments
-        wide = groups.groupBy("lkey").agg(F.sum("n").alias("N"), *[F.sum(F.col("n") * F.col(f"m{i}")).alias(f"S{i}") for i in P], *[F.sum(F.col("n") * (F.col(f"c{i}{j}") + F.col(f"m{i}") * F.col(f"m{j}"))).alias(f"Q{i}{j}") for i, j in PAIRS])
-        wide = wide.select("lkey", *[(F.col(f"S{i}") / F.col("N")).alias(f"m{i}") for i in P], *[(F.col(f"Q{i}{j}") / F.col("N") - F.col(f"S{i}") * F.col(f"S{j}") / F.col("N") / F.col("N")).alias(f"c{i}{j}") for i, j in PAIRS])
-        roots = S.stored(_root(groups, wide), "quality-roots")
-        near = _distance(rows, roots)
-    return roots
+            rest = rest - of(f"l{i}{k}") * z[k]
+        z.append(rest / of(f"l{i}{i}"))
+    return sum((x * x for x in z), F.lit(0.0))
+
+
+def _starts(rows: DataFrame, scales: Sequence[float] = FLOOR) -> DataFrame:
+    """The three first estimates of each group."""
+    quarters = rows.groupBy(*KEYS).agg(*[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 10_000).alias(f"p{i}") for i in P])
+    flat = lambda k, scale: quarters.select(*KEYS, F.lit(k).alias("k"), *[F.get(f"p{i}", F.lit(1)).alias(f"m{i}") for i in P], *[(scale(i) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in PAIRS], F.lit(0.0).alias("size"))
+    spread = lambda i: F.greatest((F.get(f"p{i}", F.lit(2)) - F.get(f"p{i}", F.lit(0))) / 1.349, F.lit(scales[i]))
+    return flat(0, lambda i: F.lit(scales[i])).unionByName(flat(1, spread)).unionByName(_root(_moments(rows, [F.lit(True)])).withColumn("k", F.lit(2)))
+
+
+def estimates(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Robust mean and covariance root for each (lkey, skey) of rows with x0 to x3, and their number."""
+    now = S.stored(_starts(rows), "quality-starts")
+    groups = now.where("k = 0").count()
+    for _ in range(STEPS if groups else 0):
+        known = now.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("k", *MEANS, *ROOTS))).alias("e"))
+        bucket = lambda k: F.floor(F.log2(1 + _squared(lambda c: F.get("e", F.lit(k))[c])) * FINE).cast("int")
+        near = S.keyed(rows, known, KEYS, groups).select(*KEYS, *[f"x{i}" for i in P], *[bucket(k).alias(f"b{k}") for k in STARTS])
+        counts = near.select(*KEYS, F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"b{k}").alias("b")) for k in STARTS])).alias("e")).groupBy(*KEYS, "e.k", "e.b").agg(F.count("*").alias("n"))
+        part = W.partitionBy(*KEYS, "k")
+        counts = counts.withColumns({"upto": F.sum("n").over(part.orderBy("b").rowsBetween(W.unboundedPreceding, 0)), "all": F.sum("n").over(part)})
+        half = F.col("upto") >= SUPPORT * F.col("all")
+        cuts = counts.groupBy(*KEYS).agg(*[F.min(F.when(half & (F.col("k") == k), F.col("b"))).alias(f"cut{k}") for k in STARTS])
+        inside = S.keyed(near, S.stored(cuts, "quality-cuts"), KEYS, groups)
+        before, now = now, S.stored(_root(_moments(inside, [F.col(f"b{k}") <= F.col(f"cut{k}") for k in STARTS])), "quality-roots")
+        moved = now.join(before.select(*KEYS, "k", F.col("size").alias("was")), [*KEYS, "k"]).agg(F.max(F.abs(F.col("size") - F.col("was")))).first()[0]
+        if moved < SETTLED:
+            break
+    best = now.groupBy(*KEYS).agg(F.min_by(F.struct(*MEANS, *ROOTS), F.struct(F.round("size", 6), "k")).alias("e"))
+    return S.stored(best.select(*KEYS, "e"), "quality-best"), groups
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -143,9 +182,11 @@ def judge(docs: DataFrame) -> DataFrame:
 def _judged(rows: DataFrame) -> DataFrame:
     # groups of documents that all fail the base rules have no estimate and need none
     base = rows.where(~F.col("base_failed"))
-    passed = _distance(base, estimates(base)).withColumn("kept", F.col("d2") <= BOUND)
-    failed = rows.where("base_failed").withColumns({"d2": F.lit(None).cast("double"), "kept": F.lit(False)})
-    return passed.unionByName(failed).withColumnRenamed("d2", "distance").drop("lkey", "skey", *[f"x{i}" for i in P])
+    best, groups = estimates(base.select(*KEYS, *[f"x{i}" for i in P]))
+    distance = _squared(lambda c: F.col("e")[c])
+    passed = S.keyed(base, best, KEYS, groups).withColumn("distance", distance).withColumn("kept", F.col("distance") <= BOUND).drop("e")
+    failed = rows.where("base_failed").withColumns({"distance": F.lit(None).cast("double"), "kept": F.lit(False)})
+    return passed.unionByName(failed).drop(*KEYS, *[f"x{i}" for i in P])
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
