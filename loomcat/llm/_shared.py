@@ -119,3 +119,14 @@ def keyed(rows: DataFrame, few: DataFrame, key: list[str], n: int) -> DataFrame:
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
     copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("_salt", salt).join(copies, [*key, "_salt"]).drop("_salt")
+
+
+def skewed(rows: DataFrame, few: DataFrame, key: list[str], count: str) -> DataFrame:
+    """rows joined with few, a stored table of one row a key whose column `count` says how many rows have it; hot keys are dealt over SALTS tasks."""
+    total = few.agg(F.sum(count)).first()[0] or 0
+    hot = F.broadcast(few.where(F.col(count) > total * HOT_SHARE).select(*key, F.lit(True).alias("_hot")))  # at most 1 / HOT_SHARE rows
+    salt = F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).otherwise(0)
+    copies = F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    left = rows.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")
+    right = few.join(hot, key, "left").withColumn("_salt", copies).drop("_hot", count)
+    return left.join(right, [*key, "_salt"]).drop("_salt")

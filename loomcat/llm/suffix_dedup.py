@@ -4,18 +4,20 @@ Every window of LENGTH bytes has an anchor: its K-gram of least hash. Neighbouri
 windows with one anchor form a run, and equal windows have equal anchors at equal
 places, so only runs whose anchors' K-grams occur twice can hold repeats (about one run
 for each 69 bytes is counted; texts are not shuffled for that). Runs that are equal as
-a whole are repeats. What is left, distinct runs around one anchor, is gathered by anchor
-and put in suffix order column by column: all strings insert one symbol a round, from
-their ends, which updates the Burrows-Wheeler transform of the collection; each round reads
-and writes the transform once, in order. Neighbours in the suffix order with a
-common prefix of LENGTH bytes are repeats.
+a whole (by anchor and 96 more bits of two hashes) are repeats. What is left, distinct runs
+around one anchor, is gathered by anchor and put in suffix order column by column: all
+strings insert one symbol a round, from their ends, which updates the Burrows-Wheeler
+transform and the common prefixes of the collection; each round reads and writes both
+once, in order. A window whose common prefix with a neighbour is LENGTH bytes is a repeat.
 
 An anchor with more than HOT distinct runs (a common passage in many contexts) is split by
 the place of the anchor in the window: windows of a cell of places share the bytes that all
-of them cover, which go into the key.
+of them cover, which go into the key. A key that still has over MOST strings is not gathered:
+its windows are counted by their digests.
 
-The collection of a round is a batch of about BATCH strings, held in memory in place of
-external files; common prefixes are taken from neighbours once, at the end.
+The collection of a round is a batch of about BATCH strings (MOST at most, but for the rows
+of one key), held in memory in place of external files: a Python worker reaches no folder
+that executors share, and its own disk is lost with it.
 
 Cases: a null text is empty; texts below LENGTH bytes have no window; equal rows (ids too)
 are documents of their own and repeat each other; a null id is kept; an empty table gives
@@ -41,6 +43,8 @@ PLACES, CELL = LENGTH - K + 1, 13
 HOT = 2000
 #: Strings of one collection (whole groups), and bytes of text looked at together.
 BATCH, CHUNK = 500, 1 << 20
+#: Strings of one key up to which they are gathered.
+MOST = 4000
 SPAN = "row long, s long, n int"
 
 
@@ -55,7 +59,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-BASE = 0x5851F42D4C957F2D
+BASE, OTHER = 0x5851F42D4C957F2D, 0x14057B7EF767814F
 TABLE = _table()
 
 
@@ -65,13 +69,13 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-POWERS = _powers(BASE, CHUNK + LENGTH + 1)
-INVERSE = _powers(pow(BASE, -1, 1 << 64), CHUNK + LENGTH + 1)
+#: Powers of both bases, and of their inverses.
+POWERS = [(_powers(b, CHUNK + LENGTH + 1), _powers(pow(b, -1, 1 << 64), CHUNK + LENGTH + 1)) for b in (BASE, OTHER)]
 
 
 def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """start, windows, place of the anchor in the first, anchor hash and run hash of each run; ends: where each byte's text ends."""
-    empty = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+    """start, windows, place of the anchor in the first, anchor hash, run hash and 32 bits of another of each run; ends: where each byte's text ends."""
+    empty = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 3
     if len(data) < LENGTH:
         return empty
     byte = TABLE[data]
@@ -94,9 +98,11 @@ def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     first = whole & np.concatenate([[True], (anchor[1:] != anchor[:-1]) | ~whole[:-1] | (ends[1 : len(anchor)] != ends[: len(anchor) - 1])])
     stop = np.concatenate([whole[:-1] & (first[1:] | ~whole[1:]), [whole[-1]]])
     s, n = np.flatnonzero(first), np.flatnonzero(stop) - np.flatnonzero(first) + 1
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(byte * POWERS[: len(byte)], dtype=np.uint64)])
-    seg = _mix((sums[s + n + LENGTH - 1] - sums[s]) * INVERSE[s] + n.astype(np.uint64))
-    return s, n, anchor[s] - s, h[anchor[s]], seg
+    seg = []
+    for power, inverse in POWERS:
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(byte * power[: len(byte)], dtype=np.uint64)])
+        seg.append(_mix((sums[s + n + LENGTH - 1] - sums[s]) * inverse[s] + n.astype(np.uint64)))
+    return s, n, anchor[s] - s, h[anchor[s]], seg[0], seg[1] >> np.uint64(32)
 
 
 def _stored_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,11 +118,11 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def emit(pieces: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
         size = np.array([len(p) for _, _, p in pieces])
         ends = np.cumsum(size)
-        s, n, place, core, seg = runs(np.frombuffer(b"".join(p for *_, p in pieces), np.uint8), np.repeat(ends, size))
+        s, n, place, core, seg, check = runs(np.frombuffer(b"".join(p for *_, p in pieces), np.uint8), np.repeat(ends, size))
         own = np.searchsorted(ends, s, "right")
         rows, at = np.array([r for r, *_ in pieces]), np.array([o for _, o, _ in pieces])
-        columns = [rows[own], at[own] + s - (ends - size)[own], n.astype(np.int32), place.astype(np.int32), core.view(np.int64), seg.view(np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "s", "n", "place", "core", "seg"])
+        columns = [rows[own], at[own] + s - (ends - size)[own], n.astype(np.int32), place.astype(np.int32), core.view(np.int64), seg.view(np.int64), check.astype(np.uint32).view(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "s", "n", "place", "core", "seg", "check"])
 
     for batch in batches:
         held: list[tuple[int, int, bytes]] = []
@@ -159,18 +165,26 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "row", "s", "n", "lone", "data"])
 
 
-def _places(bwt: np.ndarray) -> np.ndarray:
-    """For each symbol its place among all in stable order."""
-    out = np.empty(len(bwt), np.int32)
-    out[np.argsort(bwt, kind="stable")] = np.arange(len(bwt), dtype=np.int32)
+def _least(table: list[np.ndarray], first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The least value in first..last of the array whose minima over 1, 2, 4, ... places from each are in the table."""
+    width = last - first + 1
+    depth = np.frexp(width)[1] - 1
+    for size in range(len(table), int(depth.max(initial=0)) + 1):
+        table.append(np.minimum(table[-1][: -(1 << size - 1)], table[-1][1 << size - 1 :]))
+    out = np.empty(len(first), table[0].dtype)
+    for size in np.unique(depth):
+        own = depth == size
+        out[own] = np.minimum(table[size][first[own]], table[size][last[own] + 1 - (1 << size)])
     return out
 
 
-def suffix_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """String and length of each suffix of the collection, end marks included, in suffix order.
+def suffix_order(strings: list[bytes], most: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """String, length and common prefix with the one before (at most `most`) of each suffix of the collection, end marks included, in suffix order.
 
     Column by column: in round j the suffixes of length j enter. Symbols are numbered in
-    byte order from 1; 0 stands where a string is at its start.
+    byte order from 1; 0 stands where a string is at its start. A suffix enters where its
+    first symbol stands in the stable order of the transform; its common prefix is one more
+    than the least between the places of that symbol and of its last occurrence.
     """
     m = len(strings)
     size = np.array([len(x) for x in strings], np.int64)
@@ -182,19 +196,36 @@ def suffix_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     for i, x in enumerate(strings):
         column[: size[i], i] = code[np.frombuffer(x, np.uint8)[::-1]]
     bwt, live = column[0].copy(), np.flatnonzero(size > 0)
+    common = np.zeros(m, np.uint8 if most < 256 else np.uint32)
     at = live
     for j in range(1, rounds + 1):
+        order = np.argsort(bwt, kind="stable")
+        place = np.empty(len(bwt), np.int32)
+        place[order] = np.arange(len(bwt), dtype=np.int32)
         # where the longer suffix goes: behind the end marks and all symbols before this one in stable order
-        at = _places(bwt)[at] + (m - int(np.count_nonzero(bwt == 0)))
-        new = np.empty(len(bwt) + len(at), code.dtype)
+        shift = m - int(np.count_nonzero(bwt == 0))
+        rank = place[at]
+        near = np.unique(np.concatenate([rank, rank + 1]))  # those that enter, and those behind them
+        near = near[(near > 0) & (near < len(bwt))]
+        near = near[bwt[order[near - 1]] == bwt[order[near]]]
+        prefix = np.minimum(_least([common], order[near - 1] + 1, order[near]), most - 1) + 1
+        at = rank + shift
+        new, both = np.empty(len(bwt) + len(at), code.dtype), np.zeros(len(bwt) + len(at), common.dtype)
         old = np.ones(len(new), bool)
         old[at] = False
         new[old], new[at] = bwt, column[j, live]
-        bwt = new
+        both[old] = common
+        behind = at + 1
+        both[behind[behind < len(both)]] = 0
+        both[at] = 0
+        both[near + shift] = prefix
+        bwt, common = new, both
         on = size[live] > j
         if not on.all():
             at, live = at[on], live[on]
-    order = _places(bwt) + (m - int(np.count_nonzero(bwt == 0)))
+    order = np.empty(len(bwt), np.int32)
+    order[np.argsort(bwt, kind="stable")] = np.arange(len(bwt), dtype=np.int32)
+    order += m - int(np.count_nonzero(bwt == 0))
     string, length = np.empty(len(bwt), np.int32), np.zeros(len(bwt), np.int32)
     at = live = np.arange(m)
     string[at] = live
@@ -202,28 +233,18 @@ def suffix_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         on = size[live] >= j
         live, at = live[on], order[at[on]]
         string[at], length[at] = live, j
-    return string, length
+    return string, length, common
 
 
 def repeated(strings: list[bytes]) -> list[np.ndarray]:
     """For each string, which of its windows of LENGTH bytes start at another place of the strings too."""
-    string, length = suffix_order(strings)
-    own = length >= LENGTH
-    string, length = string[own], length[own]
+    string, length, common = suffix_order(strings)
+    same = common >= LENGTH
+    twice = same | np.append(same[1:], False)
     size = np.array([len(x) for x in strings])
     ends = np.cumsum(size)
-    start = ends[string] - length
-    data = np.frombuffer(b"".join(strings), np.uint8)
-    same = np.zeros(max(len(start) - 1, 0), bool)
-    if len(same):
-        windows = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
-        for i in range(0, len(same), 8192):
-            same[i : i + 8192] = (windows[start[i : i + 8192][: len(same) - i]] == windows[start[i + 1 : i + 8193]]).all(1)
-    twice = np.zeros(len(start), bool)
-    twice[1:] |= same
-    twice[:-1] |= same
-    flat = np.zeros(len(data), bool)
-    flat[start[twice]] = True
+    flat = np.zeros(int(size.sum()), bool)
+    flat[(ends[string] - length)[twice]] = True
     return [flat[e - n : e - n + max(n - LENGTH + 1, 0)] for e, n in zip(ends.tolist(), size.tolist(), strict=True)]
 
 
@@ -235,8 +256,14 @@ def spans_of(marks: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeated windows of runs sorted by key; whole groups of a key share a collection."""
+    """Repeated windows of runs sorted by key; whole groups of a key share a collection. Of keys with too many strings each window with its digest."""
+    names, kinds = ["row", "s", "n", "lone", "digest"], (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
     held: list[tuple] = []
+    crowded = None  # a key whose strings are not gathered
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) if out else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
     def emit(rows: list[tuple]) -> pa.RecordBatch:
         # equal strings of a split anchor repeat each other; one of them stands for all
@@ -250,18 +277,36 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 _key, row, s, _n, lone, _d = rows[i]
                 if lone:
                     found = [(0, len(marks))] if len(own) > 1 else spans_of(marks)
-                    out.extend((row, s + a, n) for a, n in found)
-        columns = list(zip(*out, strict=True)) if out else [()] * 3
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["row", "s", "n"])
+                    out.extend((row, s + a, n, True, None) for a, n in found)
+        return batch_of(out)
+
+    def digests(rows: list[tuple]) -> pa.RecordBatch:
+        out = []
+        for key, row, s, n, lone, data in rows:
+            salt = b"%d" % key
+            out.extend((row, s + i, 1, lone, hashlib.blake2b(data[i : i + LENGTH], digest_size=16, key=salt).digest()) for i in range(n))
+        return batch_of(out)
 
+    first = 0  # where the last key's rows begin
     for batch in batches:
         for r in zip(*(batch.column(c).to_pylist() for c in ("key", "row", "s", "n", "lone", "data")), strict=True):
-            if len(held) >= BATCH and held[-1][0] != r[0]:
-                yield emit(held)
-                held = []
+            if crowded is not None and crowded != r[0]:
+                if held:
+                    yield digests(held)
+                held, crowded = [], None
+            if not held or held[-1][0] != r[0]:
+                if len(held) >= BATCH:
+                    yield emit(held)
+                    held = []
+                first = len(held)
             held.append(r)
+            if len(held) - first > MOST:
+                if first:
+                    yield emit(held[:first])
+                yield digests(held[first:])
+                held, first, crowded = [], 0, r[0]
     if held:
-        yield emit(held)
+        yield digests(held) if crowded is not None else emit(held)
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,18 +336,24 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find(texts: DataFrame) -> DataFrame:
     """Runs (row, s, n) of repeated windows of stored texts (row, data)."""
-    all_runs = S.stored(texts.select("row", "data").mapInArrow(_anchors, "row long, s long, n int, place int, core long, seg long"), "runs")
-    twice = all_runs.groupBy("core").agg(F.count("*").alias("c"), F.min("seg").alias("lo"), F.max("seg").alias("hi")).where(F.col("c") > 1)
-    shared = S.stored(all_runs.join(twice.select("core", (F.col("lo") != F.col("hi")).alias("mixed")), "core"), "shared-runs")
+    same = ["core", "seg", "check"]
+    all_runs = S.stored(texts.select("row", "data").mapInArrow(_anchors, "row long, s long, n int, place int, core long, seg long, check int"), "runs")
+    ends = [F.min("seg").alias("lo"), F.max("seg").alias("hi"), F.min("check").alias("least"), F.max("check").alias("most")]
+    twice = all_runs.groupBy("core").agg(F.count("*").alias("c"), *ends).where(F.col("c") > 1)
+    twice = S.stored(twice.select("core", "c", ((F.col("lo") != F.col("hi")) | (F.col("least") != F.col("most"))).alias("mixed")), "anchors")
+    shared = S.stored(S.skewed(all_runs, twice, ["core"], "c"), "shared-runs")
     mixed = shared.where("mixed")
-    distinct = S.stored(mixed.groupBy("core", "seg").agg(F.count("*").alias("c"), F.min(F.struct("row", "s", "n", "place")).alias("one")), "distinct-runs")
+    distinct = S.stored(mixed.groupBy(*same).agg(F.count("*").alias("c"), F.min(F.struct("row", "s", "n", "place")).alias("one")), "distinct-runs")
     hot = distinct.groupBy("core").agg(F.count("*").alias("d")).where(F.col("d") > HOT).select("core", F.lit(True).alias("hot"))
     wanted = distinct.join(hot, "core", "left").select("one.*", "core", (F.col("c") == 1).alias("lone"), F.coalesce("hot", F.lit(False)).alias("hot"))
     by_row = wanted.groupBy("row").agg(F.collect_list(F.struct("s", "n", "place", "core", "lone", "hot")).alias("wanted"))
     cut = texts.select("row", "data").join(by_row, "row").mapInArrow(_cut, "key long, row long, s long, n int, lone boolean, data binary")
-    lone = cut.repartition("key").sortWithinPartitions("key").mapInArrow(_matched, SPAN)
-    many = mixed.join(distinct.where(F.col("c") > 1).select("core", "seg"), ["core", "seg"], "left_semi")
-    return shared.where("not mixed").select("row", "s", "n").union(many.select("row", "s", "n")).union(lone)
+    matched = S.stored(cut.repartition("key").sortWithinPartitions("key").mapInArrow(_matched, f"{SPAN}, lone boolean, digest binary"), "matched")
+    crowded = matched.where(F.col("digest").isNotNull())
+    often = S.stored(crowded.groupBy("digest").agg(F.count("*").alias("c")).where(F.col("c") > 1), "digests")
+    windows = S.skewed(crowded, often, ["digest"], "c").where("lone")
+    many = S.skewed(mixed, distinct.where(F.col("c") > 1).select(*same, "c"), same, "c")
+    return shared.where("not mixed").select("row", "s", "n").union(many.select("row", "s", "n")).union(matched.where("digest is null").select("row", "s", "n")).union(windows.select("row", "s", "n"))
 
 
 def remove(docs: DataFrame) -> DataFrame:

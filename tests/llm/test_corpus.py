@@ -95,8 +95,9 @@ def test_water_fill():
 
 def test_suffix_dedup(docs, empty, monkeypatch):
     seen = Counter(t.encode()[k : k + 200] for t in plain().values() for k in range(len(t.encode()) - 199))
-    for hot in (suffix_dedup.HOT, 2):
-        monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    for hot, most, batch in ((suffix_dedup.HOT, suffix_dedup.MOST, suffix_dedup.BATCH), (2, 4000, 500), (2, 2, 3), (4000, 3, 1)):
+        for name, value in (("HOT", hot), ("MOST", most), ("BATCH", batch)):
+            monkeypatch.setattr(suffix_dedup, name, value)
         for r in suffix_dedup.remove(docs).collect():
             data = plain()[r.doc_id].encode()
             cover = np.zeros(len(data), bool)
@@ -111,9 +112,11 @@ def test_suffix_dedup(docs, empty, monkeypatch):
 def test_suffix_order():
     rng = random.Random(2)
     strings = [bytes(rng.choice(b"ab\x00\xff") for _ in range(rng.randint(0, 20))) for _ in range(40)]
-    string, length = suffix_dedup.suffix_order(strings)
+    string, length, common = suffix_dedup.suffix_order(strings, 6)
     got = [strings[i][len(strings[i]) - n :] for i, n in zip(string, length, strict=True)]
     assert got == sorted(got) and len(got) == sum(map(len, strings)) + 40
+    prefix = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    assert common.tolist() == [0, *(min(6, prefix(a, b)) for a, b in zip(got, got[1:], strict=False))]
 
 
 BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
