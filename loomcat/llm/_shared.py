@@ -79,6 +79,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns, whatever characters their names hold."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def text_of(column: str = "text") -> Column:
     """The text; a null is an empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -127,7 +127,7 @@ def _hashed(docs: DataFrame, seed: int) -> DataFrame:
     """
     # 62 bits, so that a threshold above all hashes is a long too
     spread = lambda *c: F.shiftrightunsigned(F.xxhash64(F.lit(seed), *c), 2)
-    everything = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    everything = F.struct(*S.columns(docs))
     rows = docs.select(everything.alias("row"), _source_key().alias("skey"), S.text_of().alias("text"), spread(F.col("doc_id").cast("long"), S.text_of()).alias("hash"))
     twice = S.stored(rows.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("hash"), "equal-hashes")
     n = twice.count()

@@ -267,7 +267,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Texts are searched once: the rows are stored with their spans, which are then read for the training by themselves.
     """
-    everything = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    everything = F.struct(*S.columns(docs))
     rows = S.stored(candidates(docs.select(F.col("doc_id"), everything.alias("row"), "text"), ("row",)), "pii-rows")
     weights = fit(rows)
     kinds = F.array(*[F.lit(f"[{k.upper()}]") for k in ALL])

@@ -53,8 +53,8 @@ P = range(4)
 PAIRS = [(i, j) for i in P for j in range(i + 1)]
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, the counts and base_failed of every row of docs (doc_id, text, lang, source)."""
+def statistics(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang, source, the columns to keep, the counts and base_failed of every row of docs (doc_id, text, lang, source)."""
     text = F.col("_text")
     lines = F.filter(F.split(text, "\n", -1), lambda x: S.trimmed(x) != "")
     n = F.col("n_words")
@@ -67,14 +67,14 @@ def statistics(docs: DataFrame) -> DataFrame:
     cover = F.aggregate(F.transform("_again", lambda i, k: F.least(F.lit(3), F.coalesce(F.get("_again", k + 1) - i, F.lit(3)))), F.lit(0), lambda a, x: a + x)
     repeated = F.size("_windows") > F.size(F.array_distinct("_windows"))
     out = (
-        docs.select("doc_id", F.col("lang").cast("string"), F.col("source").cast("string"), S.text_of().alias("_text"))
-        .select("doc_id", "lang", "source", "_text", S.words(text).alias("_words"), lines.alias("_lines"))
+        docs.select("doc_id", F.col("lang").cast("string"), F.col("source").cast("string"), *keep, S.text_of().alias("_text"))
+        .select("doc_id", "lang", "source", *keep, "_text", S.words(text).alias("_words"), lines.alias("_lines"))
         .withColumn("n_words", F.size("_words"))
         .withColumn("_windows", windows)
         .withColumn("_ranked", F.when(repeated, ranked))
         .withColumn("_again", F.array_sort(again))
         .select(
-            "doc_id", "lang", "source", F.col("n_words").cast("long"),
+            "doc_id", "lang", "source", *keep, F.col("n_words").cast("long"),
             F.char_length(F.translate(text, S.BLANKS, "")).cast("long").alias("word_chars"),
             (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
             F.size("_lines").cast("long").alias("n_lines"),
@@ -171,10 +171,10 @@ def estimates(rows: DataFrame) -> tuple[DataFrame, int]:
     return S.stored(best.select(*KEYS, "e"), "quality-best"), groups
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """The statistics of every row of docs with distance (squared) and kept."""
+def judge(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The statistics of every row of docs with distance (squared) and kept, and the columns to keep (other than the names used here)."""
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
-    rows = statistics(docs).withColumns({f"x{i}": x for i, x in enumerate(vector())}).withColumns({"lkey": key("lang"), "skey": key("source")})
+    rows = statistics(docs, keep).withColumns({f"x{i}": x for i, x in enumerate(vector())}).withColumns({"lkey": key("lang"), "skey": key("source")})
     rows = S.stored(rows, "quality")
     return _judged(rows)
 

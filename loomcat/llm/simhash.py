@@ -555,9 +555,9 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """
     found = S.stored(near_duplicates(docs, **options), "near-groups")
     gone = S.stored(found.where(F.col("doc_id") != F.col("keeper")).select("doc_id").distinct(), "near-gone")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti").select(*S.columns(docs))
     twice = S.stored(found.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("doc_id"), "near-twice")
     if twice.isEmpty():
         return kept
-    once = kept.join(twice, "doc_id", "left_anti").select(*docs.columns)
-    return once.unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns))
+    once = kept.join(twice, "doc_id", "left_anti").select(*S.columns(docs))
+    return once.unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*S.columns(docs)))

@@ -290,6 +290,24 @@ def test_similar_pairs_connect():
     assert {(a, b) for a, b, v in exact if 0.68 <= v < 0.92 and group[a] != group[b]} == unsure
 
 
+def test_a_middle_row_takes_no_link_away():
+    # p is within the first word's bound of x and y but differs from both elsewhere; x and y differ in one bit
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 2, 1024)
+    y = x.copy()
+    y[700] ^= 1
+    p = np.concatenate([x[:64], rng.integers(0, 2, 960)])
+    p[rng.choice(64, 18, replace=False)] ^= 1
+    for order in ([p, x, y], [x, p, y], [x, y, p]):
+        for more in (0, 60):
+            rows = np.stack([*order, *(np.concatenate([x[:64], rng.integers(0, 2, 960)]) for _ in range(more))])
+            fps = np.packbits(rows, axis=1, bitorder="little").view("<u8")
+            at = [i for i, r in enumerate(order) if r is not p]
+            find = simhash.similar_pairs if more else lambda f, n, a, b: simhash._small_pairs(np.zeros(len(f), np.int64), np.array([len(f)]), f, n, a, b)
+            i, j, _ = find(fps, np.full(len(rows), 300.0), 0.68, 0.92)
+            assert tuple(at) in {tuple(sorted(e)) for e in zip(i.tolist(), j.tolist(), strict=True)}
+
+
 def test_quality_rejects_symbols_between_words(spark):
     rng = random.Random(9)
     good = [" ".join("x" * rng.randint(3, 7) + str(rng.randint(0, 10**6)) for _ in range(120)) for _ in range(200)]
