@@ -4,7 +4,7 @@ Each document gives a vector of four transformed statistics. Per (lang, source)
 minimum-covariance-determinant estimate is reached by concentration steps: mean and
 covariance of the half of the documents nearest to the last estimate. Steps run from
 three starts side by side (medians with least scales, medians with quartile ranges, mean
-and covariance of all) until no group's determinant falls any more, and of each group's
+and covariance of all) until each group's determinant has settled, and of each group's
 estimates the one with the least determinant stays. A group's covariance is
 drawn to its language's by PRIOR documents and has a least scale in each direction, so
 small or constant groups need no rule of their own. A document is rejected when its squared
@@ -33,10 +33,10 @@ from . import _shared as S
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
-#: Concentration steps at most; the determinants settle long before.
-STEPS = 20
-#: A determinant's logarithm that falls by less has settled.
-SETTLED = 1e-6
+#: Concentration steps at most.
+STEPS = 8
+#: A group has settled when the logarithm of its root's determinant moves by less: the half found by buckets may swing by a few rows.
+SETTLED = 0.01
 STARTS = range(3)
 #: Buckets of distances for each doubling.
 FINE = 256
