@@ -416,75 +416,73 @@ def _meeting(distance: int):
     return run
 
 
-def _small_pairs(bucket: np.ndarray, size: np.ndarray, fps: np.ndarray, shingles: np.ndarray, least: float, sure: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs i < j of small buckets that may be similar, without those whose ends are both surely similar to j's first sure partner."""
-    found = [(i[:0], i[:0], np.zeros(0)) for i in (np.zeros(0, np.int64),)]
-    for i, j in _steps(bucket, size):
-        value = _estimates(fps[i], shingles[i], fps[j], shingles[j])
-        near = value >= least
-        found.append((i[near], j[near], value[near]))
-    i, j, value = (np.concatenate(x) for x in zip(*found, strict=True))
-    n, known = len(bucket), value >= sure
-    code = np.sort(i[known] * n + j[known])
-    if not len(code):
-        return i, j, value
-    partner = np.full(n, n)
-    np.minimum.at(partner, j[known], i[known])
-    p = partner[j]
-    want = np.minimum(p, i) * n + np.maximum(p, i)
-    keep = (p == n) | (p == i) | (code[np.minimum(np.searchsorted(code, want), len(code) - 1)] != want)
-    return i[keep], j[keep], value[keep]
-
-
-def similar_pairs(fps: np.ndarray, shingles: np.ndarray, least: float, sure: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows that may be similar, without those that sure ones connect already, of which enough to connect are kept."""
-    n = len(fps)
-    star, left = np.zeros(n, np.int64), np.arange(n)
-    found = [(left[:0], left[:0], np.zeros(0))]
-    while len(left):
-        p = left[0]
-        value = _estimates(fps[p], shingles[p], fps[left], shingles[left])
-        near = value >= sure
-        near[0] = True
-        star[left[near]] = p
-        found.append((np.full(near.sum() - 1, p), left[near][1:], value[near][1:]))
-        left = left[~near]
-    root = np.arange(n)  # of the stars' pivots
-    # rows of small stars first, so that those of the largest are only compared with others
-    order = np.lexsort((star, np.bincount(star, minlength=n)[star]))
-    rest = order[: n - int((star == star[order[-1]]).sum())]
-    unsure = []
-    for at, i in enumerate(rest.tolist()):
-        other = order[at + 1 :]
-        other = other[root[star[other]] != root[star[i]]]
-        value = _estimates(fps[i], shingles[i], fps[other], shingles[other])
-        known = np.flatnonzero(value >= sure)
-        pivots, once = np.unique(root[star[other[known]]], return_index=True)
-        for r, k in zip(pivots.tolist(), known[once].tolist(), strict=True):
-            found.append((np.array([i]), other[k : k + 1], value[k : k + 1]))
-            root[root == r] = root[star[i]]
-        may = (value >= least) & (root[star[other]] != root[star[i]])
-        unsure.append((np.full(may.sum(), i), other[may], value[may]))
-    for i, j, value in unsure:
-        apart = root[star[i]] != root[star[j]]
-        found.append((i[apart], j[apart], value[apart]))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-
-def _verified(least: float, sure: float):
-    """Pairs a < b of each bucket that by the whole fingerprints may be similar, with the estimate; only sure pairs make others redundant."""
+#: Unsure similarities are taken by levels of this width, the highest first.
+LEVEL = 0.08
+#: Passes over the buckets that propose spanning trees; the next one proposes all pairs that are still open.
+PASSES = 3
+
+
+class Family:
+    """The rows of a bucket: node, whole fingerprint, number of shingles, component so far and partners already compared."""
+
+    def __init__(self, node: np.ndarray, fps: np.ndarray, shingles: np.ndarray, label: np.ndarray, tried: list, least: float, sure: float) -> None:
+        self.node, self.fps, self.shingles, self.label, self.tried, self.least, self.sure = node, fps, shingles, label, tried, least, sure
+
+    def values(self, i: int, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Estimates of a row with others, and their levels: below 0 for no pair to compare, KNOWN for rows connected already."""
+        value = _estimates(self.fps[i], self.shingles[i], self.fps[other], self.shingles[other])
+        level = np.floor((value - self.least) / LEVEL).astype(np.int64)
+        level[value >= self.sure] = KNOWN - 1
+        if self.tried[i] is not None and len(self.tried[i]):
+            level[np.isin(self.node[other], self.tried[i])] = -1
+        level[self.label[other] == self.label[i]] = KNOWN
+        return value, level
+
+    def tree(self) -> list[tuple[int, int, float]]:
+        """Pairs that connect whatever all pairs may connect, by the highest levels and smallest rows: a spanning forest, grown a row at a time."""
+        out, at = [], 0
+        left = np.arange(1, len(self.node))
+        best, source, worth = np.full(len(left), -1, np.int64), np.zeros(len(left), np.int64), np.zeros(len(left))
+        while len(left):
+            value, level = self.values(at, left)
+            better = level > best
+            best[better], source[better], worth[better] = level[better], at, value[better]
+            k = int(best.argmax())
+            if 0 <= best[k] < KNOWN:
+                out.append((int(source[k]), int(left[k]), float(worth[k])))
+            at = int(left[k])
+            left, best, source, worth = (np.delete(x, k) for x in (left, best, source, worth))
+        return out
+
+    def every(self) -> list[tuple[int, int, float]]:
+        """All pairs that are open."""
+        out = []
+        for i in range(len(self.node) - 1):
+            other = np.arange(i + 1, len(self.node))
+            value, level = self.values(i, other)
+            out.extend((i, int(j), float(v)) for j, v in zip(other[(level >= 0) & (level < KNOWN)], value[(level >= 0) & (level < KNOWN)], strict=True))
+        return out
+
+
+#: Above all levels: two rows that are connected.
+KNOWN = 1 << 20
+
+
+def _proposed(least: float, sure: float, every: bool):
+    """Pairs a < b of each bucket to compare, by estimates from the whole fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, node, shingles, fp in _whole_buckets(batches, ("bucket", "node", "size", "fp")):
+        for bucket, node, shingles, fp, label, tried in _whole_buckets(batches, ("bucket", "node", "size", "fp", "label", "tried")):
             fps, shingles = np.frombuffer(b"".join(fp), "<u8").reshape(len(bucket), -1), shingles.astype(float)
-            first, size = _runs(bucket)
-            found = [_small_pairs(bucket, size, fps, shingles, least, sure)]
-            for a, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-                i, j, value = similar_pairs(fps[a : a + n], shingles[a : a + n], least, sure)
-                found.append((i + a, j + a, value))
-            i, j, value = (np.concatenate(x) for x in zip(*found, strict=True))
-            x, y = node[i], node[j]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(value)], ["a", "b", "value"])
+            out: list[tuple[int, int, int, float]] = []
+            for a, n in zip(*(x.tolist() for x in _runs(bucket)), strict=True):
+                own = slice(a, a + n)
+                family = Family(node[own], fps[own], shingles[own], label[own], tried[own], least, sure)
+                for i, j, value in family.every() if every else family.tree():
+                    x, y = int(node[a + i]), int(node[a + j])
+                    out.append((int(bucket[a]), min(x, y), max(x, y), value))
+            columns = list(zip(*out, strict=True)) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["bucket", "a", "b", "value"])
 
     return run
 
@@ -504,6 +502,59 @@ def _exactly(similarity: float, shingle: int):
     return run
 
 
+def _compared(text: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Those of the stored pairs (a, b) whose texts are similar enough."""
+    ids = S.stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
+    texts = S.stored(text.join(S.small(ids, ids.count()), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "near-texts")
+    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    return S.stored(both.select("a", "b", "ta", "tb").mapInArrow(_exactly(similarity, shingle), "a long, b long"), "near-true")
+
+
+def _connected(text: DataFrame, whole: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """node and label of the components that the similar pairs of buckets make; whole: rows bucket, node, size, fp.
+
+    Each pass proposes a spanning tree of every bucket. Its sure pairs are links; of the
+    others first each row's best is counted on the texts, then those that are still between two
+    components. Pairs found to be no link leave the next pass's trees, and after
+    PASSES all pairs that are still open are counted, so no link is lost.
+    """
+    links, tried, labels, rows = None, None, None, whole
+    for k in range(PASSES + 1):
+        labelled = rows.withColumn("label", F.col("node")) if labels is None else rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        if tried is None:
+            ready = labelled.withColumn("tried", F.lit(None).cast("array<bigint>"))
+        else:
+            ends = tried.select("a", "b").union(tried.select("b", "a")).groupBy("a").agg(F.collect_set("b").alias("tried"))
+            ready = labelled.join(ends.withColumnRenamed("a", "node"), "node", "left")
+        ready = ready.select("bucket", "node", "size", "fp", "label", "tried").repartition("bucket").sortWithinPartitions("bucket", "node")
+        found = S.stored(ready.mapInArrow(_proposed(similarity - MARGIN, similarity + MARGIN, k == PASSES), "bucket long, a long, b long, value double"), "near-proposed")
+        sure = found.where(F.col("value") >= similarity + MARGIN).select("a", "b")
+        links = S.stored(sure.distinct() if links is None else links.union(sure.distinct()), "near-links")
+        unsure = found.where(F.col("value") < similarity + MARGIN)
+        pairs = S.stored(unsure.groupBy("a", "b").agg(F.max("value").alias("value")), "near-unsure")
+        if labels is None or not sure.isEmpty():
+            labels = S.stored(components(links), "near-labels")
+        if pairs.isEmpty():
+            break
+        for first in (True, False):
+            of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))  # noqa: B023, E731
+            fresh = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b", "value")
+            if first:
+                level = F.floor((F.col("value") - F.lit(similarity - MARGIN)) / LEVEL)
+                ends = fresh.select("a", "b", level.alias("level"), F.col("a").alias("node")).union(fresh.select("a", "b", level, F.col("b")))
+                best = ends.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("level", -F.col("a") - F.col("b"))).alias("p"))
+                fresh = best.select("p.a", "p.b").distinct()
+            fresh = S.stored(fresh.select("a", "b") if tried is None else fresh.select("a", "b").join(tried, ["a", "b"], "left_anti"), "near-open")
+            if fresh.isEmpty():
+                continue
+            true = _compared(text, fresh, similarity, shingle)
+            links = S.stored(links.union(true), "near-links")
+            tried = S.stored(fresh if tried is None else tried.union(fresh), "near-tried")
+            labels = S.stored(components(links), "near-labels")
+        rows = whole.join(unsure.select("bucket").distinct(), "bucket", "left_semi").select(*whole.columns)
+    return labels
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, words: int = WORDS, width: int = WIDTH) -> DataFrame:
     """doc_id and keeper (the smallest id of its group) of docs (doc_id, text) with an id.
 
@@ -530,20 +581,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = NEAR_SHINGLE, similarity:
     ready = nodes.select("node", mark.alias("mark"), "fp")
     keys = ready.mapInArrow(_keys(parts), "bucket long, node long, mark long").repartition("bucket").sortWithinPartitions("bucket", "node")
     met = keys.mapInArrow(_meeting(limit), "bucket long, node long")
-    whole = met.join(nodes.select("node", "size", "fp"), "node").select("bucket", "node", "size", "fp")
-    pairs = whole.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_verified(similarity - MARGIN, similarity + MARGIN), "a long, b long, value double")
-    likely = S.stored(pairs.groupBy("a", "b").agg(F.max("value").alias("value")), "near-likely")
-    sure = likely.where(F.col("value") >= similarity + MARGIN).select("a", "b")
-    # pairs near the bound are compared by their texts, unless sure ones connect them already
-    known = S.stored(components(sure), "near-known")
-    of = lambda c: known.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
-    open_pairs = likely.where(F.col("value") < similarity + MARGIN).join(of("a"), "a", "left").join(of("b"), "b", "left")
-    open_pairs = S.stored(open_pairs.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"), "near-open")
-    ids = open_pairs.select(F.col("a").alias("doc_id")).union(open_pairs.select(F.col("b").alias("doc_id"))).distinct()
-    ids = S.stored(ids, "near-ids")
-    texts = S.stored(text.join(S.small(ids, ids.count()), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "near-texts")
-    both = open_pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    labels = components(S.stored(sure.union(both.mapInArrow(_exactly(similarity, shingle), "a long, b long")), "near-links"))
+    whole = S.stored(met.join(nodes.select("node", "size", "fp"), "node").select("bucket", "node", "size", "fp"), "near-whole")
+    labels = _connected(text, whole, similarity, shingle)
     keepers = nodes.select("key", "node").join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("keeper"))
     return prints.select("doc_id", "key").join(keepers, "key").select("doc_id", "keeper")
 

@@ -268,26 +268,38 @@ def test_near_duplicates_in_a_template(spark, n):
     assert {r.doc_id: r.keeper for r in found.collect()} == dict(enumerate(label))
 
 
-def test_similar_pairs_connect():
+def family(rows, least=0.68, sure=0.92, label=None, tried=None):
+    fps = np.packbits(rows, axis=1, bitorder="little").view("<u8")
+    n = len(rows)
+    return simhash.Family(np.arange(n), fps, np.full(n, 300.0), np.arange(n) if label is None else label, tried or [None] * n, least, sure)
+
+
+def grouped(n, pairs):
+    group = np.arange(n)
+    for _ in range(n):
+        for a, b in pairs:
+            group[a] = group[b] = min(group[a], group[b])
+    return group.tolist()
+
+
+def test_trees_connect_what_all_pairs_connect():
     rng = np.random.default_rng(4)
     heads = rng.integers(0, 2, (6, 1024))
     rows = np.concatenate([heads[rng.integers(0, 3, 90)], heads[3:], heads[:3]])
     rows ^= rng.random(rows.shape) < rng.choice([0.01, 0.06], (len(rows), 1))
-    fps, sizes = np.packbits(rows, axis=1, bitorder="little").view("<u8"), np.full(len(rows), 300.0)
-    i, j, value = simhash.similar_pairs(fps, sizes, 0.68, 0.92)
-    group = np.arange(len(rows))
-    exact = [(a, b, simhash._estimates(fps[a], sizes[a], fps[b], sizes[b])) for a in range(len(rows)) for b in range(a)]
-    for _ in rows:
-        for a, b, v in exact:
-            if v >= 0.92:
-                group[a] = group[b] = min(group[a], group[b])
-    ours = np.arange(len(rows))
-    for _ in rows:
-        for a, b in zip(i[value >= 0.92], j[value >= 0.92], strict=True):
-            ours[a] = ours[b] = min(ours[a], ours[b])
-    assert (ours == group).all()
-    unsure = {(max(a, b), min(a, b)) for a, b in zip(i[value < 0.92].tolist(), j[value < 0.92].tolist(), strict=True)}
-    assert {(a, b) for a, b, v in exact if 0.68 <= v < 0.92 and group[a] != group[b]} == unsure
+    own = family(rows)
+    pairs, tree = own.every(), own.tree()
+    n = len(rows)
+    exact = {(i, j) for i in range(n) for j in range(i + 1, n) if simhash._estimates(own.fps[i], 300.0, own.fps[j], 300.0) >= 0.68}
+    assert {(i, j) for i, j, _ in pairs} == exact and len(tree) < n
+    for least in (0.68, 0.92):
+        assert grouped(n, [(i, j) for i, j, v in tree if v >= least]) == grouped(n, [(i, j) for i, j, v in pairs if v >= least])
+    # what was compared or is connected already isn't proposed again
+    gone = {(min(i, j), max(i, j)) for i, j, _ in tree}
+    label = np.array(grouped(n, list(gone)[::2]))
+    rest = family(rows, label=label, tried=[[j for e in gone for j in e if i in e and j != i] for i in range(n)])
+    assert {(i, j) for i, j, _ in rest.every()} == {(i, j) for i, j in exact - gone if label[i] != label[j]}
+    assert not {(min(i, j), max(i, j)) for i, j, _ in rest.tree()} & gone
 
 
 def test_a_middle_row_takes_no_link_away():
@@ -301,11 +313,8 @@ def test_a_middle_row_takes_no_link_away():
     for order in ([p, x, y], [x, p, y], [x, y, p]):
         for more in (0, 60):
             rows = np.stack([*order, *(np.concatenate([x[:64], rng.integers(0, 2, 960)]) for _ in range(more))])
-            fps = np.packbits(rows, axis=1, bitorder="little").view("<u8")
             at = [i for i, r in enumerate(order) if r is not p]
-            find = simhash.similar_pairs if more else lambda f, n, a, b: simhash._small_pairs(np.zeros(len(f), np.int64), np.array([len(f)]), f, n, a, b)
-            i, j, _ = find(fps, np.full(len(rows), 300.0), 0.68, 0.92)
-            assert tuple(at) in {tuple(sorted(e)) for e in zip(i.tolist(), j.tolist(), strict=True)}
+            assert tuple(at) in {tuple(sorted((i, j))) for i, j, _ in family(rows).tree()}
 
 
 def test_quality_rejects_symbols_between_words(spark):
