@@ -418,8 +418,6 @@ def _meeting(distance: int):
 
 #: Unsure similarities are taken by levels of this width, the highest first.
 LEVEL = 0.08
-#: Passes over the buckets that propose spanning trees; the next one proposes all pairs that are still open.
-PASSES = 3
 
 
 class Family:
@@ -454,39 +452,93 @@ class Family:
             left, best, source, worth = (np.delete(x, k) for x in (left, best, source, worth))
         return out
 
-    def every(self) -> list[tuple[int, int, float]]:
-        """All pairs that are open."""
-        out = []
-        for i in range(len(self.node) - 1):
-            other = np.arange(i + 1, len(self.node))
-            value, level = self.values(i, other)
-            out.extend((i, int(j), float(v)) for j, v in zip(other[(level >= 0) & (level < KNOWN)], value[(level >= 0) & (level < KNOWN)], strict=True))
-        return out
+    def open(self, i: int) -> np.ndarray:
+        """The rows after this one that it is to be compared with."""
+        other = np.arange(i + 1, len(self.node))
+        level = self.values(i, other)[1]
+        return other[(level >= 0) & (level < KNOWN)]
 
 
 #: Above all levels: two rows that are connected.
 KNOWN = 1 << 20
 
 
-def _proposed(least: float, sure: float, every: bool):
-    """Pairs a < b of each bucket to compare, by estimates from the whole fingerprints."""
+WHOLE = ("bucket", "node", "size", "fp", "label", "tried")
+
+
+def _families(bucket, node, shingles, fp, label, tried, *more, least: float, sure: float) -> Iterator[tuple[int, Family, slice]]:
+    fps, shingles = np.frombuffer(b"".join(fp), "<u8").reshape(len(bucket), -1), shingles.astype(float)
+    for a, n in zip(*(x.tolist() for x in _runs(bucket)), strict=True):
+        own = slice(a, a + n)
+        yield int(bucket[a]), Family(node[own], fps[own], shingles[own], label[own].copy(), tried[own], least, sure), own
+
+
+def _proposed(least: float, sure: float):
+    """Pairs a < b of each bucket's tree, by estimates from the whole fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, node, shingles, fp, label, tried in _whole_buckets(batches, ("bucket", "node", "size", "fp", "label", "tried")):
-            fps, shingles = np.frombuffer(b"".join(fp), "<u8").reshape(len(bucket), -1), shingles.astype(float)
+        for columns in _whole_buckets(batches, WHOLE):
             out: list[tuple[int, int, int, float]] = []
-            for a, n in zip(*(x.tolist() for x in _runs(bucket)), strict=True):
-                own = slice(a, a + n)
-                family = Family(node[own], fps[own], shingles[own], label[own], tried[own], least, sure)
-                for i, j, value in family.every() if every else family.tree():
-                    x, y = int(node[a + i]), int(node[a + j])
-                    out.append((int(bucket[a]), min(x, y), max(x, y), value))
+            for bucket, family, _ in _families(*columns, least=least, sure=sure):
+                for i, j, value in family.tree():
+                    x, y = int(family.node[i]), int(family.node[j])
+                    out.append((bucket, min(x, y), max(x, y), value))
             columns = list(zip(*out, strict=True)) if out else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["bucket", "a", "b", "value"])
 
     return run
 
 
+def common(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many values of a sorted set each of the other sets holds."""
+    if not len(one):
+        return np.zeros(len(others), np.int64)
+    ends = np.cumsum([len(x) for x in others])
+    every = np.concatenate(others)
+    hits = np.concatenate([[0], np.cumsum(one[np.minimum(np.searchsorted(one, every), len(one) - 1)] == every)])
+    return np.diff(hits[np.concatenate([[0], ends])])
+
+
+#: Sets compared with one at a time.
+TOGETHER = 256
+
+
+def _counted(least: float, sure: float, similarity: float):
+    """Links a < b among the open pairs of each bucket, counted on the sets of shingles; a pair counts in the first bucket that both share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _whole_buckets(batches, (*WHOLE, "buckets", "shingles")):
+            out: list[tuple[int, int]] = []
+            for bucket, family, own in _families(*columns, least=least, sure=sure):
+                buckets, sets = columns[-2][own], columns[-1][own]
+                for i in range(len(sets) - 1):
+                    others = family.open(i)
+                    for k in range(0, len(others), TOGETHER):
+                        some = [j for j in others[k : k + TOGETHER].tolist() if family.label[i] != family.label[j] and np.intersect1d(buckets[i], buckets[j], assume_unique=True)[0] == bucket]
+                        if not some:
+                            continue
+                        both = common(sets[i], [sets[j] for j in some])
+                        every = len(sets[i]) + np.array([len(sets[j]) for j in some]) - both
+                        for j in np.array(some)[both >= similarity * every].tolist():
+                            if family.label[i] != family.label[j]:
+                                x, y = int(family.node[i]), int(family.node[j])
+                                out.append((min(x, y), max(x, y)))
+                                family.label[family.label == family.label[j]] = family.label[i]
+            rows = list(zip(*out, strict=True)) if out else [()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], ["a", "b"])
+
+    return run
+
+
+def _sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, shingle).view(np.int64)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return run
+
+
 def _exactly(similarity: float, shingle: int):
     """Pairs whose shingle sets are similar enough."""
 
@@ -502,10 +554,15 @@ def _exactly(similarity: float, shingle: int):
     return run
 
 
+def _texts(text: DataFrame, ids: DataFrame) -> DataFrame:
+    """One text of each id."""
+    ids = S.stored(ids.distinct(), "near-ids")
+    return S.stored(text.join(S.small(ids, ids.count()), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "near-texts")
+
+
 def _compared(text: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """Those of the stored pairs (a, b) whose texts are similar enough."""
-    ids = S.stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
-    texts = S.stored(text.join(S.small(ids, ids.count()), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "near-texts")
+    texts = _texts(text, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     return S.stored(both.select("a", "b", "ta", "tb").mapInArrow(_exactly(similarity, shingle), "a long, b long"), "near-true")
 
@@ -513,46 +570,45 @@ def _compared(text: DataFrame, pairs: DataFrame, similarity: float, shingle: int
 def _connected(text: DataFrame, whole: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """node and label of the components that the similar pairs of buckets make; whole: rows bucket, node, size, fp.
 
-    Each pass proposes a spanning tree of every bucket. Its sure pairs are links; of the
-    others first each row's best is counted on the texts, then those that are still between two
-    components. Pairs found to be no link leave the next pass's trees, and after
-    PASSES all pairs that are still open are counted, so no link is lost.
+    A spanning tree of every bucket is proposed. Its sure pairs are links; of the others
+    first each row's best is counted on the texts, then those that are still between two
+    components. Where a tree's pair was no link, the pairs of that bucket that are still open
+    are all counted within it, on the sets of shingles, so no link is lost and no pair
+    is a row.
     """
-    links, tried, labels, rows = None, None, None, whole
-    for k in range(PASSES + 1):
-        labelled = rows.withColumn("label", F.col("node")) if labels is None else rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        if tried is None:
-            ready = labelled.withColumn("tried", F.lit(None).cast("array<bigint>"))
-        else:
-            ends = tried.select("a", "b").union(tried.select("b", "a")).groupBy("a").agg(F.collect_set("b").alias("tried"))
-            ready = labelled.join(ends.withColumnRenamed("a", "node"), "node", "left")
-        ready = ready.select("bucket", "node", "size", "fp", "label", "tried").repartition("bucket").sortWithinPartitions("bucket", "node")
-        found = S.stored(ready.mapInArrow(_proposed(similarity - MARGIN, similarity + MARGIN, k == PASSES), "bucket long, a long, b long, value double"), "near-proposed")
-        sure = found.where(F.col("value") >= similarity + MARGIN).select("a", "b")
-        links = S.stored(sure.distinct() if links is None else links.union(sure.distinct()), "near-links")
-        unsure = found.where(F.col("value") < similarity + MARGIN)
-        pairs = S.stored(unsure.groupBy("a", "b").agg(F.max("value").alias("value")), "near-unsure")
-        if labels is None or not sure.isEmpty():
-            labels = S.stored(components(links), "near-labels")
-        if pairs.isEmpty():
-            break
-        for first in (True, False):
-            of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))  # noqa: B023, E731
-            fresh = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b", "value")
-            if first:
-                level = F.floor((F.col("value") - F.lit(similarity - MARGIN)) / LEVEL)
-                ends = fresh.select("a", "b", level.alias("level"), F.col("a").alias("node")).union(fresh.select("a", "b", level, F.col("b")))
-                best = ends.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("level", -F.col("a") - F.col("b"))).alias("p"))
-                fresh = best.select("p.a", "p.b").distinct()
-            fresh = S.stored(fresh.select("a", "b") if tried is None else fresh.select("a", "b").join(tried, ["a", "b"], "left_anti"), "near-open")
-            if fresh.isEmpty():
-                continue
-            true = _compared(text, fresh, similarity, shingle)
-            links = S.stored(links.union(true), "near-links")
-            tried = S.stored(fresh if tried is None else tried.union(fresh), "near-tried")
-            labels = S.stored(components(links), "near-labels")
-        rows = whole.join(unsure.select("bucket").distinct(), "bucket", "left_semi").select(*whole.columns)
-    return labels
+    least, sure = similarity - MARGIN, similarity + MARGIN
+    dealt = lambda rows: rows.repartition("bucket").sortWithinPartitions("bucket", "node")
+    trees = whole.select("*", F.col("node").alias("label"), F.lit(None).cast("array<bigint>").alias("tried"))
+    found = S.stored(dealt(trees).mapInArrow(_proposed(least, sure), "bucket long, a long, b long, value double"), "near-proposed")
+    links = S.stored(found.where(F.col("value") >= sure).select("a", "b").distinct(), "near-links")
+    labels = S.stored(components(links), "near-labels")
+    unsure = found.where(F.col("value") < sure)
+    pairs = S.stored(unsure.groupBy("a", "b").agg(F.max("value").alias("value")), "near-unsure")
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    apart = lambda: pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b", "value")
+    level = F.floor((F.col("value") - F.lit(least)) / LEVEL)
+    ends = apart().select("a", "b", level.alias("level"), F.explode(F.array("a", "b")).alias("node"))
+    best = ends.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("level", -F.col("a") - F.col("b"))).alias("p"))
+    tried = S.stored(best.select("p.a", "p.b").distinct(), "near-open")
+    for last in (False, True):
+        fresh = S.stored(apart().select("a", "b").join(tried, ["a", "b"], "left_anti"), "near-open") if last else tried
+        if fresh.isEmpty():
+            continue
+        links = S.stored(links.union(_compared(text, fresh, similarity, shingle)), "near-links")
+        tried = S.stored(tried.union(fresh), "near-tried") if last else tried
+        labels = S.stored(components(links), "near-labels")
+    # the buckets whose trees rest on a pair that is no link
+    false = tried.join(links, ["a", "b"], "left_anti")
+    open_buckets = S.stored(unsure.join(false, ["a", "b"], "left_semi").select("bucket").distinct(), "near-open-buckets")
+    if open_buckets.isEmpty():
+        return labels
+    rows = S.stored(whole.join(open_buckets, "bucket", "left_semi").join(labels, "node", "left").select(*whole.columns, F.coalesce("label", "node").alias("label")), "near-open-rows")
+    compared = tried.select(F.col("a").alias("node"), "b").union(tried.select("b", "a")).groupBy("node").agg(F.collect_set("b").alias("tried"))
+    own = rows.groupBy("node").agg(F.array_sort(F.collect_set("bucket")).alias("buckets"))
+    sets = _texts(text, rows.select(F.col("node").alias("doc_id"))).mapInArrow(_sets(shingle), "node long, shingles array<bigint>")
+    ready = rows.join(own, "node").join(S.stored(sets, "near-sets"), "node").join(compared, "node", "left").select(*WHOLE, "buckets", "shingles")
+    more = S.stored(dealt(ready).mapInArrow(_counted(least, sure, similarity), "a long, b long"), "near-counted")
+    return labels if more.isEmpty() else S.stored(components(S.stored(links.union(more), "near-links")), "near-labels")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, words: int = WORDS, width: int = WIDTH) -> DataFrame:

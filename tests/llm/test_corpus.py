@@ -288,17 +288,18 @@ def test_trees_connect_what_all_pairs_connect():
     rows = np.concatenate([heads[rng.integers(0, 3, 90)], heads[3:], heads[:3]])
     rows ^= rng.random(rows.shape) < rng.choice([0.01, 0.06], (len(rows), 1))
     own = family(rows)
-    pairs, tree = own.every(), own.tree()
-    n = len(rows)
-    exact = {(i, j) for i in range(n) for j in range(i + 1, n) if simhash._estimates(own.fps[i], 300.0, own.fps[j], 300.0) >= 0.68}
-    assert {(i, j) for i, j, _ in pairs} == exact and len(tree) < n
+    n, tree = len(rows), own.tree()
+    every = lambda f: [(i, int(j)) for i in range(n) for j in f.open(i)]
+    value = lambda i, j: simhash._estimates(own.fps[i], 300.0, own.fps[j], 300.0)
+    exact = {(i, j) for i in range(n) for j in range(i + 1, n) if value(i, j) >= 0.68}
+    assert set(every(own)) == exact and len(tree) < n
     for least in (0.68, 0.92):
-        assert grouped(n, [(i, j) for i, j, v in tree if v >= least]) == grouped(n, [(i, j) for i, j, v in pairs if v >= least])
+        assert grouped(n, [(i, j) for i, j, v in tree if v >= least]) == grouped(n, [(i, j) for i, j in exact if value(i, j) >= least])
     # what was compared or is connected already isn't proposed again
     gone = {(min(i, j), max(i, j)) for i, j, _ in tree}
     label = np.array(grouped(n, list(gone)[::2]))
     rest = family(rows, label=label, tried=[[j for e in gone for j in e if i in e and j != i] for i in range(n)])
-    assert {(i, j) for i, j, _ in rest.every()} == {(i, j) for i, j in exact - gone if label[i] != label[j]}
+    assert set(every(rest)) == {(i, j) for i, j in exact - gone if label[i] != label[j]}
     assert not {(min(i, j), max(i, j)) for i, j, _ in rest.tree()} & gone
 
 
