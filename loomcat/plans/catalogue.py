@@ -201,14 +201,14 @@ def unclassified_assets(spark, sf):
 @query(
     "vector_candidates",
     f"""WITH p AS (SELECT a.vec_id AS source, b.vec_id // 2 AS asset_id, {DOT("a.embedding", "b.embedding")} / (sqrt({DOT("a.embedding", "a.embedding")}) * sqrt({DOT("b.embedding", "b.embedding")})) AS sim
-  FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 50 = 0 AND b.vec_id // 2 <> a.vec_id),
+  FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 20 = 0 AND b.vec_id // 2 <> a.vec_id),
 m AS (SELECT source, asset_id, max(sim) AS sim FROM p GROUP BY 1, 2 HAVING max(sim) >= 0.2)
 SELECT source, asset_id, round(sim, 6) AS sim, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY sim DESC, asset_id) AS INTEGER) AS rank FROM m) WHERE rank <= 10""",
 )
 def vector_candidates(spark, sf):
     vectors = read(spark, sf, "embeddings")
     chunks = vectors.select(F.floor(F.col("vec_id") / 2).alias("asset_id"), F.col("label").alias("channel"), F.col("embedding").alias("vector"))
-    sources = vectors.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("source"), F.col("label").alias("channel"), F.col("embedding").alias("vector"))
+    sources = vectors.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("source"), F.col("label").alias("channel"), F.col("embedding").alias("vector"))
     return candidates.by_vector(sources, chunks, least=0.2, k=10).withColumn("sim", F.round("sim", 6))
 
 

@@ -36,7 +36,8 @@ def kind(content: Column) -> Column:
     riff = F.substring(plain, 9, 4)
     out = F.coalesce(out, F.when(box, "video"), F.when(code.startswith("52494646"), F.when(riff == "WAVE", "audio").when(riff == "AVI ", "video").when(riff == "WEBP", "image")))
     for name, inside in OFFICE.items():
-        out = F.coalesce(out, F.when(code.startswith("504b0304") & plain.contains(inside), name))
+        # the folders stand in the archive's directory, at its end
+        out = F.coalesce(out, F.when(code.startswith("504b0304") & F.contains(content, F.lit(bytearray(inside.encode()))), name))
     shut = ~plain.rlike(r"[\x00-\x08\x0E-\x1A\x1C-\x1F]") & (F.length(content) > 0)
     return F.coalesce(out, F.when(shut & plain.rlike(r"(?s)^\s*[\[{].*[\]}\",0-9a-z]\s*$"), "json"), F.when(shut, "text"), F.lit("unknown"))
 
@@ -98,8 +99,9 @@ def overlapped(chunks: Column, overlap: int) -> Column:
     return F.transform(chunks, lambda c, i: F.when(i == 0, c).otherwise(_stripped(F.concat(F.substring(before(i), F.greatest(F.char_length(before(i)) - overlap, F.lit(0)) + 1, F.lit(overlap)), F.lit("\n"), c))))
 
 
-def chunks(text: Column, size: int, *, overlap: int = 0, most: int = 10_000_000) -> Column:
-    """Chunks of a plain text, which is one segment of at most `most` characters; none for a blank one."""
+def chunks(text: Column, size: int, *, overlap: int = 0, most: int | None = None) -> Column:
+    """Chunks of a plain text, which is one segment (of at most `most` characters, if that is given); none for a blank one."""
     if overlap < 0 or overlap >= size:
         raise ValueError("the overlap must be at least 0 and less than the chunk size")
-    return overlapped(packed(F.array(F.substring(F.coalesce(text, F.lit("")), 1, max(most, 0))), size), overlap)
+    whole = F.coalesce(text, F.lit(""))
+    return overlapped(packed(F.array(whole if most is None else F.substring(whole, 1, max(most, 0))), size), overlap)

@@ -62,8 +62,9 @@ def test_kinds(spark, tmp_path):
 def test_filter_parameters():
     parse = filters.parse_filters
     assert parse() is None and parse(topic=" ", file_ext=[""]) is None
-    assert parse(file_ext=[".JPG", "jpg", "Pdf"]).file_ext == ("jpg", "pdf")
-    assert parse(file_size_ranges=[(5, 9), (None, 3), (5, 9)]).sizes == ((None, 3), (5, 9))
+    assert parse(file_ext=[".JPG", "jpg", "Pdf"]).values == {"file_ext": ["jpg", "pdf"]}
+    assert parse(file_size_ranges=[(5, 9), (None, 3), (5, 9)]).values == {"file_size_ranges": [(-float("inf"), 3), (5, 9)]}
+    assert parse(created_to="2024-02-04T23:30:00-05:00", created_from="2024-02-03T00:30:00+09:00").bounds() == ("2024-02-03", "2024-02-04")
     assert parse(created_from="2024-02-03", created_to="2024-02-04T23:30:00Z").bounds() == (date(2024, 2, 3).isoformat(), "2024-02-04")
     for bad in ([(None, None)], [(3, 3)], [(True, 4)], [(-1, 4)], [5], [(1, 2, 3)], [(1, 2**63)]):
         with pytest.raises(ValueError):
