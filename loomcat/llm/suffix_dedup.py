@@ -7,8 +7,9 @@ for each 69 bytes is counted; texts are not shuffled for that). Runs that are eq
 a whole (by anchor and 96 more bits of two hashes) are repeats. What is left, distinct runs
 around one anchor, is gathered by anchor and put in suffix order column by column: all
 strings insert one symbol a round, from their ends, which updates the Burrows-Wheeler
-transform and the common prefixes of the collection; each round reads and writes both
-once, in order. A window whose common prefix with a neighbour is LENGTH bytes is a repeat.
+transform of the collection; each round reads and writes it once, in order. A window whose
+common prefix with a neighbour is LENGTH bytes is a repeat; these prefixes are taken once, at
+the end, as keeping them in every round costs more than the rest of a round.
 
 An anchor with more than HOT distinct runs (a common passage in many contexts) is split by
 the place of the anchor in the window: windows of a cell of places share the bytes that all
@@ -165,26 +166,18 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "row", "s", "n", "lone", "data"])
 
 
-def _least(table: list[np.ndarray], first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """The least value in first..last of the array whose minima over 1, 2, 4, ... places from each are in the table."""
-    width = last - first + 1
-    depth = np.frexp(width)[1] - 1
-    for size in range(len(table), int(depth.max(initial=0)) + 1):
-        table.append(np.minimum(table[-1][: -(1 << size - 1)], table[-1][1 << size - 1 :]))
-    out = np.empty(len(first), table[0].dtype)
-    for size in np.unique(depth):
-        own = depth == size
-        out[own] = np.minimum(table[size][first[own]], table[size][last[own] + 1 - (1 << size)])
+def _places(bwt: np.ndarray) -> np.ndarray:
+    """For each symbol its place among all in stable order."""
+    out = np.empty(len(bwt), np.int32)
+    out[np.argsort(bwt, kind="stable")] = np.arange(len(bwt), dtype=np.int32)
     return out
 
 
-def suffix_order(strings: list[bytes], most: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """String, length and common prefix with the one before (at most `most`) of each suffix of the collection, end marks included, in suffix order.
+def suffix_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """String and length of each suffix of the collection, end marks included, in suffix order.
 
     Column by column: in round j the suffixes of length j enter. Symbols are numbered in
-    byte order from 1; 0 stands where a string is at its start. A suffix enters where its
-    first symbol stands in the stable order of the transform; its common prefix is one more
-    than the least between the places of that symbol and of its last occurrence.
+    byte order from 1; 0 stands where a string is at its start.
     """
     m = len(strings)
     size = np.array([len(x) for x in strings], np.int64)
@@ -196,36 +189,19 @@ def suffix_order(strings: list[bytes], most: int = LENGTH) -> tuple[np.ndarray,
     for i, x in enumerate(strings):
         column[: size[i], i] = code[np.frombuffer(x, np.uint8)[::-1]]
     bwt, live = column[0].copy(), np.flatnonzero(size > 0)
-    common = np.zeros(m, np.uint8 if most < 256 else np.uint32)
     at = live
     for j in range(1, rounds + 1):
-        order = np.argsort(bwt, kind="stable")
-        place = np.empty(len(bwt), np.int32)
-        place[order] = np.arange(len(bwt), dtype=np.int32)
         # where the longer suffix goes: behind the end marks and all symbols before this one in stable order
-        shift = m - int(np.count_nonzero(bwt == 0))
-        rank = place[at]
-        near = np.unique(np.concatenate([rank, rank + 1]))  # those that enter, and those behind them
-        near = near[(near > 0) & (near < len(bwt))]
-        near = near[bwt[order[near - 1]] == bwt[order[near]]]
-        prefix = np.minimum(_least([common], order[near - 1] + 1, order[near]), most - 1) + 1
-        at = rank + shift
-        new, both = np.empty(len(bwt) + len(at), code.dtype), np.zeros(len(bwt) + len(at), common.dtype)
+        at = _places(bwt)[at] + (m - int(np.count_nonzero(bwt == 0)))
+        new = np.empty(len(bwt) + len(at), code.dtype)
         old = np.ones(len(new), bool)
         old[at] = False
         new[old], new[at] = bwt, column[j, live]
-        both[old] = common
-        behind = at + 1
-        both[behind[behind < len(both)]] = 0
-        both[at] = 0
-        both[near + shift] = prefix
-        bwt, common = new, both
+        bwt = new
         on = size[live] > j
         if not on.all():
             at, live = at[on], live[on]
-    order = np.empty(len(bwt), np.int32)
-    order[np.argsort(bwt, kind="stable")] = np.arange(len(bwt), dtype=np.int32)
-    order += m - int(np.count_nonzero(bwt == 0))
+    order = _places(bwt) + (m - int(np.count_nonzero(bwt == 0)))
     string, length = np.empty(len(bwt), np.int32), np.zeros(len(bwt), np.int32)
     at = live = np.arange(m)
     string[at] = live
@@ -233,18 +209,28 @@ def suffix_order(strings: list[bytes], most: int = LENGTH) -> tuple[np.ndarray,
         on = size[live] >= j
         live, at = live[on], order[at[on]]
         string[at], length[at] = live, j
-    return string, length, common
+    return string, length
 
 
 def repeated(strings: list[bytes]) -> list[np.ndarray]:
     """For each string, which of its windows of LENGTH bytes start at another place of the strings too."""
-    string, length, common = suffix_order(strings)
-    same = common >= LENGTH
-    twice = same | np.append(same[1:], False)
+    string, length = suffix_order(strings)
+    own = length >= LENGTH
+    string, length = string[own], length[own]
     size = np.array([len(x) for x in strings])
     ends = np.cumsum(size)
-    flat = np.zeros(int(size.sum()), bool)
-    flat[(ends[string] - length)[twice]] = True
+    start = ends[string] - length
+    data = np.frombuffer(b"".join(strings), np.uint8)
+    same = np.zeros(max(len(start) - 1, 0), bool)
+    if len(same):
+        windows = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
+        for i in range(0, len(same), 8192):
+            same[i : i + 8192] = (windows[start[i : i + 8192][: len(same) - i]] == windows[start[i + 1 : i + 8193]]).all(1)
+    twice = np.zeros(len(start), bool)
+    twice[1:] |= same
+    twice[:-1] |= same
+    flat = np.zeros(len(data), bool)
+    flat[start[twice]] = True
     return [flat[e - n : e - n + max(n - LENGTH + 1, 0)] for e, n in zip(ends.tolist(), size.tolist(), strict=True)]
 
 
