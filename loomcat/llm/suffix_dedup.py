@@ -4,7 +4,7 @@ Every window of LENGTH bytes has an anchor: its K-gram of least hash. Neighbouri
 windows with one anchor form a run, and equal windows have equal anchors at equal
 places, so only runs whose anchors' K-grams occur twice can hold repeats (about one run
 for each 69 bytes is counted; texts are not shuffled for that). Runs that are equal as
-a whole (by anchor and 96 more bits of two hashes) are repeats. What is left, distinct runs
+a whole (by the 64 bits of the anchor's hash and 64 of the run's) are repeats. What is left, distinct runs
 around one anchor, is gathered by anchor and put in suffix order column by column: all
 strings insert one symbol a round, from their ends, which updates the Burrows-Wheeler
 transform of the collection; each round reads and writes it once, in order. A window whose
@@ -60,7 +60,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-BASE, OTHER = 0x5851F42D4C957F2D, 0x14057B7EF767814F
+BASE = 0x5851F42D4C957F2D
 TABLE = _table()
 
 
@@ -70,13 +70,13 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-#: Powers of both bases, and of their inverses.
-POWERS = [(_powers(b, CHUNK + LENGTH + 1), _powers(pow(b, -1, 1 << 64), CHUNK + LENGTH + 1)) for b in (BASE, OTHER)]
+POWERS = _powers(BASE, CHUNK + LENGTH + 1)
+INVERSE = _powers(pow(BASE, -1, 1 << 64), CHUNK + LENGTH + 1)
 
 
 def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """start, windows, place of the anchor in the first, anchor hash, run hash and 32 bits of another of each run; ends: where each byte's text ends."""
-    empty = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 3
+    """start, windows, place of the anchor in the first, anchor hash and run hash of each run; ends: where each byte's text ends."""
+    empty = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
     if len(data) < LENGTH:
         return empty
     byte = TABLE[data]
@@ -99,11 +99,9 @@ def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     first = whole & np.concatenate([[True], (anchor[1:] != anchor[:-1]) | ~whole[:-1] | (ends[1 : len(anchor)] != ends[: len(anchor) - 1])])
     stop = np.concatenate([whole[:-1] & (first[1:] | ~whole[1:]), [whole[-1]]])
     s, n = np.flatnonzero(first), np.flatnonzero(stop) - np.flatnonzero(first) + 1
-    seg = []
-    for power, inverse in POWERS:
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(byte * power[: len(byte)], dtype=np.uint64)])
-        seg.append(_mix((sums[s + n + LENGTH - 1] - sums[s]) * inverse[s] + n.astype(np.uint64)))
-    return s, n, anchor[s] - s, h[anchor[s]], seg[0], seg[1] >> np.uint64(32)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(byte * POWERS[: len(byte)], dtype=np.uint64)])
+    seg = _mix((sums[s + n + LENGTH - 1] - sums[s]) * INVERSE[s] + n.astype(np.uint64))
+    return s, n, anchor[s] - s, h[anchor[s]], seg
 
 
 def _stored_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,11 +117,11 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def emit(pieces: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
         size = np.array([len(p) for _, _, p in pieces])
         ends = np.cumsum(size)
-        s, n, place, core, seg, check = runs(np.frombuffer(b"".join(p for *_, p in pieces), np.uint8), np.repeat(ends, size))
+        s, n, place, core, seg = runs(np.frombuffer(b"".join(p for *_, p in pieces), np.uint8), np.repeat(ends, size))
         own = np.searchsorted(ends, s, "right")
         rows, at = np.array([r for r, *_ in pieces]), np.array([o for _, o, _ in pieces])
-        columns = [rows[own], at[own] + s - (ends - size)[own], n.astype(np.int32), place.astype(np.int32), core.view(np.int64), seg.view(np.int64), check.astype(np.uint32).view(np.int32)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "s", "n", "place", "core", "seg", "check"])
+        columns = [rows[own], at[own] + s - (ends - size)[own], n.astype(np.int32), place.astype(np.int32), core.view(np.int64), seg.view(np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "s", "n", "place", "core", "seg"])
 
     for batch in batches:
         held: list[tuple[int, int, bytes]] = []
@@ -322,12 +320,12 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find(texts: DataFrame) -> DataFrame:
     """Runs (row, s, n) of repeated windows of stored texts (row, data)."""
-    same = ["core", "seg", "check"]
-    all_runs = S.stored(texts.select("row", "data").mapInArrow(_anchors, "row long, s long, n int, place int, core long, seg long, check int"), "runs")
-    ends = [F.min("seg").alias("lo"), F.max("seg").alias("hi"), F.min("check").alias("least"), F.max("check").alias("most")]
-    twice = all_runs.groupBy("core").agg(F.count("*").alias("c"), *ends).where(F.col("c") > 1)
-    twice = S.stored(twice.select("core", "c", ((F.col("lo") != F.col("hi")) | (F.col("least") != F.col("most"))).alias("mixed")), "anchors")
-    shared = S.stored(S.skewed(all_runs, twice, ["core"], "c"), "shared-runs")
+    same = ["core", "seg"]
+    all_runs = S.stored(texts.select("row", "data").mapInArrow(_anchors, "row long, s long, n int, place int, core long, seg long"), "runs")
+    twice = all_runs.groupBy("core").agg(F.count("*").alias("c"), F.min("seg").alias("lo"), F.max("seg").alias("hi")).where(F.col("c") > 1)
+    twice = S.stored(twice.select("core", (F.col("lo") != F.col("hi")).alias("mixed")), "anchors")
+    # both sides are shuffled as they are, so adaptive execution splits an anchor that very many runs share
+    shared = S.stored(all_runs.join(twice, "core"), "shared-runs")
     mixed = shared.where("mixed")
     distinct = S.stored(mixed.groupBy(*same).agg(F.count("*").alias("c"), F.min(F.struct("row", "s", "n", "place")).alias("one")), "distinct-runs")
     hot = distinct.groupBy("core").agg(F.count("*").alias("d")).where(F.col("d") > HOT).select("core", F.lit(True).alias("hot"))
@@ -338,7 +336,7 @@ def find(texts: DataFrame) -> DataFrame:
     crowded = matched.where(F.col("digest").isNotNull())
     often = S.stored(crowded.groupBy("digest").agg(F.count("*").alias("c")).where(F.col("c") > 1), "digests")
     windows = S.skewed(crowded, often, ["digest"], "c").where("lone")
-    many = S.skewed(mixed, distinct.where(F.col("c") > 1).select(*same, "c"), same, "c")
+    many = mixed.join(distinct.where(F.col("c") > 1).select(*same), same, "left_semi")
     return shared.where("not mixed").select("row", "s", "n").union(many.select("row", "s", "n")).union(matched.where("digest is null").select("row", "s", "n")).union(windows.select("row", "s", "n"))
 
 
