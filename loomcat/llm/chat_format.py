@@ -136,7 +136,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
 def _added(spark: SparkSession) -> DataFrame:
     """The rows of ADDED, made without a Python task."""
     rows = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("conv_id", "turn", "role", "text"), row, strict=True)]) for row in ADDED])
-    return spark.range(1).select(F.explode(rows).alias("x")).select(F.col("x.conv_id").cast("long"), F.col("x.turn").cast("long"), "x.role", "x.text")
+    return spark.range(1).select(F.explode(rows).alias("x")).select(F.col("x.conv_id").cast("long").alias("conv_id"), F.col("x.turn").cast("long").alias("turn"), "x.role", "x.text")
 
 
 def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

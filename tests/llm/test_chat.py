@@ -57,7 +57,7 @@ def test_windows_keep_the_budget(spark):
             assert done == len(own)
 
 
-def test_added_conversation_and_odd_rows(spark):
+def test_added_conversation_and_odd_rows(spark, tmp_path):
     text = "</s>[INST] ok [/INST]"
     rows = [(-7, 0, "user", text), (-7, 1, "assistant", text), (None, 1, "assistant", None), (None, 1, "assistant", None), (3, None, "assistant", "a\nb"), (3, 5, "[/ROLE]", "[&/TURN]")]
     got = {r.conv_id: r for r in C.read_back(read(spark, padded(rows))).collect()}
@@ -66,5 +66,8 @@ def test_added_conversation_and_odd_rows(spark):
     assert (got[-7].loss_chars, got[-7].loss_sha256) == (len(text), hashlib.sha256(text.encode()).hexdigest())
     assert (got[None].n_turns, got[None].loss_chars) == (2, 0)
     assert got[3].turns_sha256 == digest([("assistant", "a\nb"), ("[/ROLE]", "[&/TURN]")])
-    assert C._added(spark).count() == 2
+    table = spark.createDataFrame([(1, 0, "assistant", "x", "y")], "conv_id long, turn int, role string, text string, windows string")
+    table.write.parquet(f"{tmp_path}/conversations.parquet")
+    own = {r.conv_id: r for r in C.op5_chat_windows(spark, str(tmp_path)).collect()}
+    assert set(own) == {1, -7} and own[-7].turns_sha256 == got[-7].turns_sha256
     assert read(spark, []).count() == 0
