@@ -88,3 +88,69 @@ def cleaned_name(name: Column, noise: Iterable[str] = ()) -> Column:
         return out
 
     return F.array_join(F.filter(F.split(stem, r"(?U)[_\s]+", -1), keep), " ")
+
+
+#: Prefixes of cameras and tools, sources that file names begin with, marks around names, what separates them.
+DEVICE = r"(?i)^(?:img|dsc|dscn|dcim|pic|photo|image|vid|video|mov|movie|screen ?shot|capture|kakaotalk|download|untitled|new ?file|캡처|사진|스크린샷|제목\s*없음|무제|새\s*파일)[ _\-]*"
+SOURCES = ("youtube", "wikipedia")
+OPEN, CLOSE = "\\[\\(（｛{《〈⟪「｢'\"“”‘’", "\\]\\)）｝}》〉⟫」｣'\"“”‘’"
+HASHTAG = r"#([^\s#\[\]()（）｜|]{1,30})"
+SEPARATOR = r"(?U)(?:[｜|/,·・•∙‧ㅣ:：;~〜]+|\s[-–—]\s)"
+TELLING = "[가-힣]{2,}|[A-Za-z]{3,}"
+CANDIDATES, CANDIDATE_LENGTH = 6, 40
+
+
+def meaningful(stem: Column) -> Column:
+    """The stem if it tells something besides a device's prefix; else null."""
+    bare = F.regexp_replace(stem, r"(?U)^\s+|\s+$", "")
+    return F.when(F.regexp_replace(bare, DEVICE, "").rlike(TELLING), bare)
+
+
+def candidates(stem: Column, limit: int = CANDIDATES) -> Column:
+    """What may be names in a stem: bracketed parts, then hashtags, then parts between separators; each once but for case and spaces."""
+    marked = f"[{OPEN}]([^{OPEN}{CLOSE}]{{1,40}})[{CLOSE}]"
+    text = F.coalesce(stem, F.lit(""))
+    rest = F.regexp_replace(F.regexp_replace(text, marked, " "), HASHTAG, " ")
+    parts = F.concat(F.regexp_extract_all(text, F.lit(marked)), F.regexp_extract_all(text, F.lit(HASHTAG)), F.split(rest, SEPARATOR))
+    clean = F.transform(parts, lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"(?U)\s+", " "), "^ | $", ""), "^[#.·,]+|[#.·,]+$", ""))
+    good = F.filter(clean, lambda x: (F.char_length(x) <= CANDIDATE_LENGTH) & x.rlike(TELLING))
+    key = lambda x: F.lower(F.regexp_replace(x, r"(?U)\s+", ""))
+    return F.slice(F.filter(good, lambda x, i: ~F.exists(F.slice(good, F.lit(1), i), lambda y: key(y) == key(x))), 1, limit)
+
+
+def topic_of_file(name: Column) -> Column:
+    """The topic that a file name tells: its last brackets, the part behind a source's name, else the first part behind an id."""
+    stem = F.regexp_replace(F.regexp_replace(name, r"(?s)\.[^.]*$", ""), r"(?U)^\s+|\s+$", "")
+    parts = F.split(F.when(stem.contains("__"), F.regexp_extract(stem, r"(?s)^.*?__(.*)$", 1)).otherwise(stem), "_")
+    at = F.when((F.size(parts) >= 2) & F.get(parts, F.lit(0)).isin(*SOURCES), F.get(parts, F.lit(1))).otherwise(F.get(parts, F.lit(0)))
+    ending = F.regexp_extract(stem, r"\(([^()]+)\)\s*$", 1)
+    return F.when(ending != "", F.regexp_replace(ending, r"(?U)^\s+|\s+$", "")).otherwise(at)
+
+
+def topic_fields(edge: dict[str, Column], default: str = "일반", default_en: str = "general") -> Column:
+    """struct(topic, subtopic, topic_en, subtopic_en, fallback) from an edge's columns under any of their names.
+
+    Without a topic the first word of the reason's first line stands in, else the default.
+    """
+    none = F.lit(None).cast("string")
+    first = lambda *keys: F.coalesce(*[F.when(F.trim(edge[k]) != "", edge[k]) for k in keys if k in edge], none)
+    told, line = topic(first("topic_ko", "topic")), topic(F.substring_index(F.trim(edge.get("reason", none)), "\n", 1))
+    missing = told == ""
+    en = topic_en(first("topic_en"))
+    return F.struct(
+        F.when(~missing, told).when(line != "", line).otherwise(default).alias("topic"), subtopic(first("subtopic_ko", "sub_topic_ko", "subtopic")).alias("subtopic"),
+        F.when(missing & (en == ""), default_en).otherwise(en).alias("topic_en"), subtopic_en(first("subtopic_en", "sub_topic_en")).alias("subtopic_en"), missing.alias("fallback"),
+    )
+
+
+def inserted(prompt: Column, marker: str, block: Column) -> Column:
+    """The block before the marker's first place, or at the end of a prompt without it."""
+    at = F.instr(prompt, F.lit(marker))
+    return F.when(at > 0, F.concat(F.substr(prompt, F.lit(1), at - 1), block, F.substr(prompt, at))).otherwise(F.concat(prompt, block))
+
+
+def timed_id(millis: Column) -> Column:
+    """A version 7 identifier as text: 48 bits of time, then random ones; a retried task draws others, so store it before use."""
+    noise = F.replace(F.uuid(), F.lit("-"), F.lit(""))  # version 4: the digit of its variant is already right
+    time = F.lpad(F.lower(F.hex(millis)), 12, "0")
+    return F.concat_ws("-", F.substring(time, 1, 8), F.substring(time, 9, 4), F.concat(F.lit("7"), F.substring(noise, 1, 3)), F.substring(noise, 17, 4), F.substring(noise, 21, 12))

@@ -53,20 +53,47 @@ def review_page(edges: DataFrame, keep: Column, limit: int, offset: int = 0) ->
     return rows.orderBy(F.desc_nulls_last("confidence"), "edge_id").offset(offset).limit(limit).join(F.broadcast(total))
 
 
-def violations(edges: DataFrame, kinds: DataFrame, nodes: DataFrame) -> DataFrame:
-    """check and n: self edges, unknown statuses, unknown kinds, missing end points, symmetric edges stored twice or out of order."""
-    symmetric = edges.join(F.broadcast(kinds.where("is_symmetric").select("kind")), "kind")
+def violations(edges: DataFrame, kinds: DataFrame, nodes: DataFrame, *, least: float = 0.0, approved_from: float = 0.0, excluded: Sequence[str] = (), member: str | None = None, vectors: DataFrame | None = None) -> DataFrame:
+    """check and n: what breaks the rules of edges (src, dst, kind, status, confidence, reviewed_by), kinds and nodes (unique).
+
+    Always: self edges, unknown statuses and kinds, missing end points, symmetric edges stored twice or out
+    of order. Where kinds have a `status`: inactive ones in use. Where least, approved_from (above 1:
+    nothing is approved by machine), excluded or member are given: weak similarities, machine approvals,
+    active edges of excluded kinds; ends of the wrong node_kind, a member kind that is inactive or symmetric.
+    Where vectors (node) are given: those without a node. One pass over the edges counts all but repeats.
+    """
+    marks = [F.col(c).alias(f"k_{c}") for c in ("is_symmetric", "status") if c in kinds.columns]
+    ends = [F.col(c) for c in ("node_kind",) if c in nodes.columns]
+    end = lambda side: nodes.select(F.col("node").alias(side), F.lit(True).alias(f"{side}_known"), *[c.alias(f"{side}_kind") for c in ends])
+    rows = edges.join(kinds.select("kind", F.lit(True).alias("k_known"), *marks), "kind", "left").join(end("src"), "src", "left").join(end("dst"), "dst", "left")
+    active, symmetric = F.col("status") == "active", F.coalesce("k_is_symmetric", F.lit(False))
     checks = {
-        "self_edge": edges.where(F.col("src") == F.col("dst")),
-        "status": edges.where(~F.col("status").isin("proposed", "active", "rejected")),
-        "kind": edges.join(F.broadcast(kinds.select("kind")), "kind", "left_anti"),
-        "source": edges.join(nodes, edges["src"] == nodes["node"], "left_anti"),
-        "target": edges.join(nodes, edges["dst"] == nodes["node"], "left_anti"),
-        "order": symmetric.where(F.col("src") > F.col("dst")),
-        "twice": symmetric.groupBy("kind", F.least("src", "dst"), F.greatest("src", "dst")).count().where("count > 1"),
+        "self_edge": F.col("src") == F.col("dst"),
+        "status": ~F.col("status").isin("proposed", "active", "rejected"),
+        "kind": F.col("k_known").isNull(),
+        "source": F.col("src_known").isNull(),
+        "target": F.col("dst_known").isNull(),
+        "order": symmetric & (F.col("src") > F.col("dst")),
     }
-    out = None
-    for name, rows in checks.items():
-        one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), "n")
-        out = one if out is None else out.unionByName(one)
+    if "status" in kinds.columns:
+        checks["inactive_kind"] = F.col("k_status") != "active"
+    if least > 0:
+        checks["weak_similarity"] = F.col("kind").isin(*SIMILARITY) & (F.col("confidence").isNull() | (F.col("confidence") < least))
+    if approved_from > 1:
+        checks["approved_by_machine"] = active & F.col("reviewed_by").isNull()
+    if excluded:
+        checks["excluded_kind_active"] = F.col("kind").isin(*excluded) & active
+    if member and ends:
+        own = F.col("kind") == member
+        checks["ends_not_assets"] = ~own & ((F.col("src_kind") != "asset") | (F.col("dst_kind") != "asset"))
+        checks["member_direction"] = own & ((F.col("src_kind") != "asset") | (F.col("dst_kind") != "entity"))
+    counted = rows.agg(*[F.count_if(c).alias(name) for name, c in checks.items()])
+    listed = lambda df, found: df.select(F.inline(F.array(*[F.struct(F.lit(n).alias("check"), F.col(n).alias("n")) for n in found])))
+    twice = edges.join(kinds.where("is_symmetric").select("kind"), "kind").groupBy("kind", F.least("src", "dst"), F.greatest("src", "dst")).count()
+    out = listed(counted, checks).unionByName(listed(twice.agg(F.count_if(F.col("count") > 1).alias("twice")), ["twice"]))
+    if member:
+        wrong = ~F.col("is_symmetric").eqNullSafe(F.lit(False)) | (F.col("status") != "active")
+        out = out.unionByName(listed(kinds.where(F.col("kind") == member).agg(F.count_if(wrong).alias("member_kind")), ["member_kind"]))
+    if vectors is not None:
+        out = out.unionByName(listed(vectors.join(nodes, "node", "left_anti").agg(F.count("*").alias("orphan_vectors")), ["orphan_vectors"]))
     return out

@@ -11,24 +11,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine
+from ..sources.shared import written
 
 EPS = 1e-9
 
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def _count(column: str, term: str) -> Column:
-    return F.size(F.filter(column, lambda x: x == F.lit(term)))
+    return F.size(column) - F.size(F.array_remove(column, F.lit(term)))
 
 
 def bm25(docs: DataFrame, key: str, text: Column, query: Sequence[str], *, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """key and score of the documents that hold a query term: one scan, totals over all documents."""
+    """key and score of the documents that hold a query term, totals over all documents.
+
+    One pass over the texts: the counts are written to the shared folder, a few numbers a document.
+    """
     terms = list(dict.fromkeys(query))
     have = docs.select(F.col(key), tokens(text).alias("t")).withColumn("n", F.size("t"))
-    counts = have.select(key, "n", *[_count("t", q).alias(f"f{i}") for i, q in enumerate(terms)])
+    counts = written(have.select(key, "n", *[_count("t", q).alias(f"f{i}") for i, q in enumerate(terms)]), "word-counts")
     totals = counts.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(terms))])
     score = F.lit(0.0)
     for i in range(len(terms)):

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from loomcat.plans import catalogue, policies, screens  # noqa: F401
+from loomcat.plans import catalogue, judging, policies, screens  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
