@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType
 
+from .scalars import let
+
 #: Keys of the answers, lengths of texts, the default number of labels, codes and modes of skills.
 JUDGED, DESCRIBED, LABELS = "판정", "설명", "labels"
 SUMMARY_MAX, MEMBER_MAX, DESCRIPTION_MAX, LABELS_MAX = 250, 150, 120, 30
@@ -131,7 +133,7 @@ def label_answer(response: Column, skill: Skill) -> Column:
         (F.lit(skill.selection == "single") & (n > 1), "single_policy"),
     )
     code = F.create_map(*[F.lit(y) for x in (*skill.labels, (RESERVED, skill.unassigned)) for y in (x[1], x[0])])
-    ordered = F.when(F.array_contains(texts, unassigned), F.array(unassigned)).otherwise(F.filter(shown, lambda x: F.array_contains(texts, x)))
+    ordered = let(texts, lambda t: F.when(F.array_contains(t, unassigned), F.array(unassigned)).otherwise(F.filter(shown, lambda x: F.array_contains(t, x))))
     names = F.when(failure.isNull(), ordered)
     return F.struct(failure.isNull().alias("ok"), failure.alias("failure"), names.alias("names"), F.transform(names, lambda x: F.element_at(code, x)).alias("codes"))
 
@@ -165,8 +167,9 @@ def entity_answer(keywords: Column, response: Column, types: Sequence[str]) -> C
     written = F.array_sort(F.map_keys(entries))
     found = F.arrays_zip(asked.alias("keyword"), _spelled(asked, written).alias("key"))
     hits = F.filter(found, lambda x: x["key"].isNotNull())
-    part = lambda x, k: F.when(_kind(F.try_variant_get(F.element_at(entries, x["key"]), f"$.{k}", "variant")) == "STRING", F.try_variant_get(F.element_at(entries, x["key"]), f"$.{k}", "string"))
-    read = F.transform(hits, lambda x: F.struct(x["keyword"].alias("keyword"), _trimmed(part(x, "entity")).alias("name"), part(x, "type").alias("entity_type")))
+    part = lambda e, k: F.when(_kind(F.try_variant_get(e, f"$.{k}", "variant")) == "STRING", F.try_variant_get(e, f"$.{k}", "string"))
+    one = lambda x, e: F.struct(x["keyword"].alias("keyword"), _trimmed(part(e, "entity")).alias("name"), part(e, "type").alias("entity_type"))
+    read = let(F.struct(hits.alias("hits"), entries.alias("entries")), lambda z: F.transform(z["hits"], lambda x: one(x, F.element_at(z["entries"], x["key"]))))
     real = F.filter(read, lambda x: F.coalesce((x["name"] != "") & x["entity_type"].isin(*types), F.lit(False)))
     failure = _first(
         (F.size(asked) == 0, "no_keywords"),

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType
 
+from .scalars import let
+
 #: The longest label, the punctuation cut from its ends, and words too general for a keyword.
 LABEL_MAX = 200
 EDGE = r"\s.,;:!?·、，。"
@@ -115,7 +117,8 @@ def candidates(stem: Column, limit: int = CANDIDATES) -> Column:
     clean = F.transform(parts, lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"(?U)\s+", " "), "^ | $", ""), "^[#.·,]+|[#.·,]+$", ""))
     good = F.filter(clean, lambda x: (F.char_length(x) <= CANDIDATE_LENGTH) & x.rlike(TELLING))
     key = lambda x: F.lower(F.regexp_replace(x, r"(?U)\s+", ""))
-    return F.slice(F.filter(good, lambda x, i: ~F.exists(F.slice(good, F.lit(1), i), lambda y: key(y) == key(x))), 1, limit)
+    first = lambda every: F.filter(every, lambda x, i: ~F.exists(F.slice(every, F.lit(1), i), lambda y: key(y) == key(x)))
+    return F.slice(let(good, first), 1, limit)
 
 
 def topic_of_file(name: Column) -> Column:

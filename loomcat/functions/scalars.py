@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,6 +12,11 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once: a column named within a lambda is worked out again for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 @pandas_udf(StringType())
 def _folded(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else "".join(unicodedata.normalize("NFKC", x).split()).casefold())

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.filters import kind_code
+from ..functions.scalars import let
 
 UNASSIGNED = "unassigned"
 RESERVED = ("mm_member",)
@@ -92,6 +93,6 @@ def merged_aliases(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFr
     none = F.array().cast("array<string>")
     both = old.select(*key, F.col("aliases").alias("_old")).join(new.select(*key, F.col("aliases").alias("_new")), list(key), "full_outer")
     every = F.filter(F.concat(F.coalesce("_old", none), F.transform(F.coalesce("_new", none), lambda x: F.trim(x))), lambda x: x != "")
-    first = F.filter(every, lambda x, i: ~F.exists(F.slice(every, F.lit(1), i), lambda y: norm(y) == norm(x)))
+    first = let(every, lambda all_: F.filter(all_, lambda x, i: ~F.exists(F.slice(all_, F.lit(1), i), lambda y: norm(y) == norm(x))))
     done = F.when(F.col("_old").isNull(), "registered").when(F.col("_new").isNull() | (F.size("aliases") == F.size("_old")), "unchanged").otherwise("updated")
     return both.withColumn("aliases", first).withColumn("done", done).drop("_old", "_new")

@@ -6,8 +6,10 @@ import base64
 import hashlib
 import json
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine
@@ -83,17 +85,16 @@ def cut(rows: DataFrame, floor: float) -> DataFrame:
 
 
 def facets(scope: DataFrame, axes: dict[str, Column], filters: dict[str, Column], unit: str, *, size: int = 24) -> DataFrame:
-    """axis, key, n: distinct units per value, each axis without its own filter; (n desc, key) up to size."""
-    out = None
-    for axis, value in axes.items():
-        rows = scope
-        for name, keep in filters.items():
-            if name != axis:
-                rows = rows.where(keep)
-        one = rows.select(value.alias("key"), unit).where(F.col("key").isNotNull()).groupBy("key").agg(F.count_distinct(unit).alias("n"))
-        one = one.orderBy(F.desc("n"), "key").limit(size).select(F.lit(axis).alias("axis"), F.col("key").cast("string"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """axis, key, n: distinct units per value, each axis without its own filter; (n desc, key) up to size.
+
+    One pass: each row is counted on the axes whose other filters it meets.
+    """
+    others = lambda axis: reduce(lambda a, b: a & b, [F.coalesce(keep, F.lit(False)) for name, keep in filters.items() if name != axis], F.lit(True))
+    each = F.array(*[F.when(others(axis), F.struct(F.lit(axis).alias("axis"), value.cast("string").alias("key"))) for axis, value in axes.items()])
+    rows = scope.select(unit, F.explode(F.filter(each, lambda x: x["key"].isNotNull())).alias("x"))
+    counts = rows.groupBy("x.axis", "x.key").agg(F.count_distinct(unit).alias("n"))
+    rank = F.row_number().over(W.partitionBy("axis").orderBy(F.desc("n"), "key"))
+    return counts.withColumn("rank", rank).where(F.col("rank") <= size).drop("rank")
 
 
 def after(order: Sequence[tuple[str, bool]], bookmark: Sequence) -> Column:

@@ -303,9 +303,9 @@ def entity_modalities(spark, sf):
     return rows.groupBy(F.col("l_suppkey").alias("entity"), (F.col("p_size") % 4).alias("modality")).agg(F.count_distinct("l_partkey").alias("n"))
 
 
-@query("isolated_parts", "SELECT p_partkey AS asset_id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A')")
+@query("isolated_parts", "SELECT p_partkey AS asset_id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber = 1)")
 def isolated_parts(spark, sf):
-    linked = read(spark, sf, "lineitem").where(F.col("l_returnflag") == "A").select(F.col("l_partkey").alias("asset_id"))
+    linked = read(spark, sf, "lineitem").where("l_returnflag = 'A' and l_linenumber = 1").select(F.col("l_partkey").alias("asset_id"))
     return sets.isolated(read(spark, sf, "part").select(F.col("p_partkey").alias("asset_id")), linked, "asset_id")
 
 

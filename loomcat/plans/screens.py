@@ -129,13 +129,13 @@ def hollow_assets(spark, sf):
 
 @query(
     "place_candidates",
-    """WITH p AS (SELECT doc_id AS id, source AS dir, 'doc' || (doc_id // 20) AS norm, CASE doc_id % 3 WHEN 0 THEN 'doc' || (doc_id // 20) ELSE 'doc' || (doc_id // 20) || '_v' || (doc_id % 3) END AS raw FROM documents)
+    """WITH p AS (SELECT doc_id AS id, 'd' || (doc_id // 50) AS dir, 'doc' || (doc_id // 20) AS norm, CASE doc_id % 3 WHEN 0 THEN 'doc' || (doc_id // 20) ELSE 'doc' || (doc_id // 20) || '_v' || (doc_id % 3) END AS raw FROM documents)
 SELECT * FROM (SELECT a.id AS source, b.id AS asset_id, CAST(CASE WHEN a.raw = b.raw THEN 2 ELSE 1 END AS INTEGER) AS proximity, CAST(row_number() OVER (PARTITION BY a.id ORDER BY a.raw = b.raw DESC, b.id) AS INTEGER) AS rank
   FROM p a JOIN p b ON a.dir = b.dir AND a.norm = b.norm AND a.id <> b.id) WHERE rank <= 10""",
 )
 def place_candidates(spark, sf):
     stem = F.concat(F.lit("Doc"), F.floor(F.col("doc_id") / 20).cast("string"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("_v"), (F.col("doc_id") % 3).cast("string"))))
-    rows = read(spark, sf, "documents").select(F.col("doc_id").alias("asset_id"), F.concat(F.col("source"), F.lit("/"), stem, F.when(F.col("doc_id") % 2 == 0, ".txt").otherwise(".PDF")).alias("path"))
+    rows = read(spark, sf, "documents").select(F.col("doc_id").alias("asset_id"), F.concat(F.lit("d"), F.floor(F.col("doc_id") / 50).cast("string"), F.lit("/"), stem, F.when(F.col("doc_id") % 2 == 0, ".txt").otherwise(".PDF")).alias("path"))
     return work.by_place(rows, rows, 10)
 
 

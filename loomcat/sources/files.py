@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import let
+
 #: Leading bytes (hex) of file formats, by kind.
 MAGIC = {
     "pdf": ("25504446",),
@@ -68,16 +70,14 @@ def _stripped(text: Column) -> Column:
 
 
 def _pieces(text: Column, size: int) -> Column:
-    n = F.ceil(F.char_length(text) / F.lit(size)).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * size + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
 
 
 def packed(segments: Column, size: int) -> Column:
     """Chunks of at most size characters: segments joined by line ends while they fit, longer ones cut."""
     start = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("done"))
 
-    def step(a: Column, raw: Column) -> Column:
-        s = _stripped(raw)
+    def step(a: Column, s: Column) -> Column:
         closed = F.when(a["open"] != "", F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"])
         fits = (a["open"] != "") & (F.char_length(a["open"]) + 1 + F.char_length(s) <= size)
         state = lambda buf, out: F.struct(buf.alias("open"), out.alias("done"))
@@ -88,15 +88,16 @@ def packed(segments: Column, size: int) -> Column:
             .otherwise(state(s, closed))
         )
 
-    return F.aggregate(segments, start, step, lambda a: F.when(a["open"] != "", F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"]))
+    return F.aggregate(F.transform(segments, _stripped), start, step, lambda a: F.when(a["open"] != "", F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"]))
 
 
 def overlapped(chunks: Column, overlap: int) -> Column:
     """Each chunk behind the end of the one before it."""
     if overlap <= 0:
         return chunks
-    before = lambda i: F.get(chunks, i - 1)
-    return F.transform(chunks, lambda c, i: F.when(i == 0, c).otherwise(_stripped(F.concat(F.substring(before(i), F.greatest(F.char_length(before(i)) - overlap, F.lit(0)) + 1, F.lit(overlap)), F.lit("\n"), c))))
+    end = lambda x: F.substring(x, F.greatest(F.char_length(x) - overlap, F.lit(0)) + 1, F.lit(overlap))
+    behind = lambda every: F.transform(every, lambda c, i: F.when(i == 0, c).otherwise(_stripped(F.concat(end(F.get(every, i - 1)), F.lit("\n"), c))))
+    return let(chunks, behind)
 
 
 def chunks(text: Column, size: int, *, overlap: int = 0, most: int | None = None) -> Column:
