@@ -1,7 +1,8 @@
 """Token ids in ORC files: run-length encoded integers, row indexes, Bloom filters on document ids.
 
 Cases: a null text is empty and holds the end id alone; documents with equal ids
-stand next to each other, in the order of their texts; a null id comes first;
+stand next to each other, in the order of their texts' hashes, and may go on in the
+next file, so that a frequent id is not one task's; a null id comes first;
 an empty table gives files without rows; other columns are ignored.
 """
 
@@ -53,15 +54,17 @@ def write_token_files(docs: DataFrame, path: str, *, vocabulary: str = BYTE_BPE,
     """Writes the ids of docs (doc_id, text) to ORC files at path, in ascending doc_id order over the files by name."""
     S.importable(docs.sparkSession)
     text = docs.select(F.col("doc_id").cast("long"), S.text_of().alias("text"))
-    dealt = text.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    dealt.mapInArrow(_encoded(vocabulary, vocabulary_path, end_id), SCHEMA).write.options(**ORC_OPTIONS).orc(path)
+    order = ["doc_id", "hash", "nth"]  # rows alike in id and text are dealt by their place in the input
+    rows = text.withColumns({"hash": F.xxhash64("text"), "nth": F.monotonically_increasing_id()})
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt.select("doc_id", "text").mapInArrow(_encoded(vocabulary, vocabulary_path, end_id), SCHEMA).write.options(**ORC_OPTIONS).orc(path)
     return path
 
 
 def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
     """Rows of the files with each document's start; doc_ids: only these, found by stripe statistics and Bloom filters."""
     files = spark.read.schema(SCHEMA).orc(path)
-    # one number for each written file
+    # one number for each written file; their table is sent to all tasks only if it is small
     totals = sorted((r.part, r.n) for r in files.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
     begins, at = [], 0
     for part, n in totals:
@@ -70,7 +73,7 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None =
     begin = spark.createDataFrame(begins, "part int, begin long")
     if doc_ids is not None:
         files = files.where(F.col("doc_id").isin(list(doc_ids)))
-    return files.join(F.broadcast(begin), "part").select("doc_id", (F.col("begin") + F.col("part_start")).alias("start"), "n_tokens", "ids")
+    return files.join(S.small(begin, len(begins)), "part").select("doc_id", (F.col("begin") + F.col("part_start")).alias("start"), "n_tokens", "ids")
 
 
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
