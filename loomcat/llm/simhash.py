@@ -611,13 +611,107 @@ def _connected(text: DataFrame, whole: DataFrame, similarity: float, shingle: in
     return labels if more.isEmpty() else S.stored(components(S.stored(links.union(more), "near-links")), "near-labels")
 
 
+#: A shingle that more than so many texts have among their first comes after others, of which no more than LATE are held.
+OFTEN, LATE = 64, 50_000
+#: Bits that tell whether an even or odd number of shingles has that remainder.
+PARITY = 2048
+
+
+def _first_shingles(similarity: float, shingle: int, late: np.ndarray):
+    """node, size and the first shingles in one order of all (by hash, the late ones last): texts as similar as that share one of these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, first, parity = [], [], []
+            for text in batch.column("text").to_pylist():
+                every = np.unique(shingle_hashes(text, shingle))
+                behind = np.isin(every, late)
+                n = len(every)
+                least = math.ceil(similarity * n - 1e-9)
+                sizes.append(n)
+                parity.append(np.packbits((np.bincount((every % PARITY).astype(np.int64), minlength=PARITY) & 1).astype(bool)).tobytes())
+                first.append(np.concatenate([every[~behind], every[behind]])[: n - least + 1].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array(parity, pa.binary())], ["node", "size", "tokens", "parity"])
+
+    return run
+
+
+def _sharing(similarity: float):
+    """Pairs a < b of different components that share a first shingle, unless its places or the sizes rule the similarity out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for token, node, label, size, place in _whole_buckets(batches, ("token", "node", "label", "size", "place")):
+            left = size.astype(np.int64) - place  # shingles from this one on
+
+            def may(i, j):
+                need = similarity / (1 + similarity) * (size[i].astype(np.int64) + size[j]) - 1e-6
+                return (label[i] != label[j]) & (np.minimum(left[i], left[j]) >= need)
+
+            first, count = _runs(token)
+            found = [(i[ok], j[ok]) for i, j in _steps(token, count) for ok in [may(i, j)]]
+            for a, n in zip(first[count > SMALL].tolist(), count[count > SMALL].tolist(), strict=True):
+                for i in range(a, a + n - 1):
+                    j = np.arange(i + 1, a + n)
+                    j = j[may(i, j)]
+                    found.append((np.full(len(j), i), j))
+            pairs = np.concatenate([np.stack([node[i], node[j]], 1) for i, j in found]) if found else np.zeros((0, 2), np.int64)
+            pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy(), pa.int64()), pa.array(pairs[:, 1].copy(), pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _possible(similarity: float):
+    """Pairs whose sets can be similar enough: they differ in at least as many shingles as in bits of parity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(batch.num_rows, -1) for c in ("xa", "xb"))
+            both = batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
+            keep = both - np.bitwise_count(x ^ y).sum(1, dtype=np.int64) >= 2 * (similarity / (1 + similarity) * both - 1e-6)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
+
+    return run
+
+
+def _completed(text: DataFrame, nodes: DataFrame, labels: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """labels (node, label) after all links between their components: an exact way for pairs that fingerprints miss.
+
+    Shingles have one order for all texts. Two sets as similar as that share one of their first
+    n - ceil(similarity * n) + 1, so all pairs of different components that share one are counted on
+    the texts, unless a bound on their common shingles (places, sizes, parities) is too low. The pairs
+    of an id of several rows are not bounded; one of its texts is counted. Any order is exact; shingles that are often among the first come last for speed.
+    """
+    known = S.stored(nodes.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "near-components")
+    rows = lambda late: S.stored(text.mapInArrow(_first_shingles(similarity, shingle, late), "node long, size int, tokens array<bigint>, parity binary").join(known, "node"), "near-first")
+    first = rows(np.zeros(0, np.uint64))
+    often = first.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > OFTEN)
+    late = [r.token for r in often.orderBy(F.desc("n"), "token").limit(LATE).select("token").collect()]
+    if late:
+        first = rows(np.sort(np.array(late, np.int64).view(np.uint64)))
+    tokens = first.select("node", "label", "size", F.posexplode("tokens").alias("place", "token"))
+    shared = tokens.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_sharing(similarity), "a long, b long")
+    of = lambda c: first.groupBy("node").agg(F.count("*").alias("k"), F.max("size").alias("n"), F.max("parity").alias(f"x{c}")).select(F.col("node").alias(c), F.when(F.col("k") > 1, 1 << 30).otherwise(F.col("n")).alias(f"n{c}"), f"x{c}")
+    bounded = shared.distinct().join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "xa", "xb")
+    pairs = S.stored(bounded.mapInArrow(_possible(similarity), "a long, b long"), "near-rest")
+    if pairs.isEmpty():
+        return labels
+    more = _compared(text, pairs, similarity, shingle)
+    if more.isEmpty():
+        return labels
+    return S.stored(components(S.stored(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more), "near-links")), "near-labels")
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, words: int = WORDS, width: int = WIDTH) -> DataFrame:
     """doc_id and keeper (the smallest id of its group) of docs (doc_id, text) with an id.
 
     Texts equal but for case and white space are one from the start. Fingerprints have
     64 * words bits in partitions of width bits with thresholds 0, so pairs that differ
     in fewer bits than there are partitions always meet; at similarity 0.8 pairs meet with
-    probability 0.99. Similarity is estimated from the whole fingerprints and the
+    probability 0.99. What doesn't meet, or is estimated too low, is found by shared shingles
+    and counted (_completed). Similarity is estimated from the whole fingerprints and the
     numbers of shingles (standard deviation 0.026 for 1024 bits at 0.8); where that leaves
     doubt, it is counted on the texts.
     """
@@ -638,7 +732,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = NEAR_SHINGLE, similarity:
     keys = ready.mapInArrow(_keys(parts), "bucket long, node long, mark long").repartition("bucket").sortWithinPartitions("bucket", "node")
     met = keys.mapInArrow(_meeting(limit), "bucket long, node long")
     whole = S.stored(met.join(nodes.select("node", "size", "fp"), "node").select("bucket", "node", "size", "fp"), "near-whole")
-    labels = _connected(text, whole, similarity, shingle)
+    labels = _completed(text, nodes, _connected(text, whole, similarity, shingle), similarity, shingle)
     keepers = nodes.select("key", "node").join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("keeper"))
     return prints.select("doc_id", "key").join(keepers, "key").select("doc_id", "keeper")
 

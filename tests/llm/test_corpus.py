@@ -266,6 +266,38 @@ def test_near_duplicates_in_a_template(spark, n):
     assert {r.doc_id: r.keeper for r in found.collect()} == dict(enumerate(label))
 
 
+@pytest.mark.parametrize("short,long", [(8, 9), (44, 54)])
+def test_near_duplicates_at_the_similarity_are_all_found(spark, short, long):
+    """Texts at exactly 0.8, of which fingerprints miss some: 4 of 5 and 40 of 50 shingles in common."""
+    rng = random.Random(long)
+    texts = []
+    for _ in range(150):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(long)]
+        texts += [words[:short], words]
+    assert {jaccard(x, y) for x, y in zip(texts[::2], texts[1::2], strict=True)} == {0.8}
+    found = simhash.near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))
+    assert {r.doc_id: r.keeper for r in found.collect()} == {i: i - i % 2 for i in range(len(texts))}
+
+
+def test_first_shingles_that_are_frequent_come_last(spark, monkeypatch):
+    """With every shingle of the template late, fingerprints switched off: the exact way alone finds all groups."""
+    monkeypatch.setattr(simhash, "OFTEN", 2)
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    template = [word() for _ in range(60)]
+    texts = [[*template, *(word() for _ in range(rng.randint(0, 40)))] for _ in range(40)]
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    label = list(range(40))
+    for i in range(40):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    none = spark.createDataFrame([], "node long, label long")
+    found = {r.node: r.label for r in simhash._completed(rows, rows.select(F.col("doc_id").alias("node")), none, 0.8, 5).collect()}
+    assert 1 < len(set(label)) < 40 and [found.get(i, i) for i in range(40)] == label
+
+
 def family(rows, least=0.68, sure=0.92, label=None, tried=None):
     fps = np.packbits(rows, axis=1, bitorder="little").view("<u8")
     n = len(rows)
