@@ -611,67 +611,176 @@ def _connected(text: DataFrame, whole: DataFrame, similarity: float, shingle: in
     return labels if more.isEmpty() else S.stored(components(S.stored(links.union(more), "near-links")), "near-labels")
 
 
-#: A shingle that more than so many texts have among their first comes after others, of which no more than LATE are held.
-OFTEN, LATE = 64, 50_000
-#: Bits that tell whether an even or odd number of shingles has that remainder.
-PARITY = 2048
+#: A shingle of more than so many texts of those that a task counts at once comes after others, the most frequent last; no more than LATE are held.
+OFTEN, LATE = 4, 50_000
+#: Shingles that a task counts at once.
+COUNTED = 1 << 22
+#: Bits that tell whether an even or odd number of shingles has that remainder: a power of two of at least twice the shingles, up to this.
+PARITY = 1 << 15
 
 
-def _first_shingles(similarity: float, shingle: int, late: np.ndarray):
-    """node, size and the first shingles in one order of all (by hash, the late ones last): texts as similar as that share one of these."""
+def _frequent(shingle: int):
+    """token and n of shingles that are frequent among the texts a task counts at once; only the order of shingles, hence time, rests on them."""
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        token, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(token[n > OFTEN].view(np.int64)), pa.array(n[n > OFTEN].astype(np.int64))], ["token", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                held.append(np.unique(shingle_hashes(text, shingle)))
+                total += len(held[-1])
+                if total >= COUNTED:
+                    yield counted(held)
+                    held, total = [], 0
+        yield counted(held)
+
+    return run
+
+
+def parity(every: np.ndarray, width: int) -> np.ndarray:
+    """Words of width bits that differ between two sets in no more bits than the sets in shingles."""
+    return np.packbits((np.bincount((every & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(bool)).view("<u8")
+
+
+def _width(size: int) -> int:
+    return min(PARITY, 1 << max(6, (2 * size - 1).bit_length()))
+
+
+def _first_shingles(similarity: float, shingle: int, late: np.ndarray, rank: np.ndarray):
+    """node, size and the first shingles in one order of all (by hash, the sorted late ones last by rank): texts as similar as that share one of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, first, parity = [], [], []
+            sizes, first, bits = [], [], []
             for text in batch.column("text").to_pylist():
                 every = np.unique(shingle_hashes(text, shingle))
-                behind = np.isin(every, late)
                 n = len(every)
+                at = np.minimum(np.searchsorted(late, every), max(len(late) - 1, 0))
+                behind = late[at] == every if len(late) else np.zeros(n, bool)
                 least = math.ceil(similarity * n - 1e-9)
                 sizes.append(n)
-                parity.append(np.packbits((np.bincount((every % PARITY).astype(np.int64), minlength=PARITY) & 1).astype(bool)).tobytes())
-                first.append(np.concatenate([every[~behind], every[behind]])[: n - least + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array(parity, pa.binary())], ["node", "size", "tokens", "parity"])
+                bits.append(parity(every, _width(n)).tobytes())
+                first.append(np.concatenate([every[~behind], every[behind][np.argsort(rank[at[behind]])]])[: n - least + 1].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["node", "size", "tokens", "parity"])
 
     return run
 
 
 def _sharing(similarity: float):
-    """Pairs a < b of different components that share a first shingle, unless its places or the sizes rule the similarity out."""
+    """met and node: rows that share a first shingle with a row of another component, unless places or sizes rule the similarity out.
+
+    met is a hash of the nodes so found for one shingle: shingles that the same nodes share give these nodes once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, node, label, size, place in _whole_buckets(batches, ("token", "node", "label", "size", "place")):
-            left = size.astype(np.int64) - place  # shingles from this one on
+        seen: set[int] = set()
+        for token, node, label, place in _whole_buckets(batches, ("token", "node", "label", "place")):
+            size = place >> 32
+            left = size - (place & 0xFFFFFFFF)  # shingles from this one on
 
             def may(i, j):
-                need = similarity / (1 + similarity) * (size[i].astype(np.int64) + size[j]) - 1e-6
+                need = similarity / (1 + similarity) * (size[i] + size[j]) - 1e-6
                 return (label[i] != label[j]) & (np.minimum(left[i], left[j]) >= need)
 
             first, count = _runs(token)
-            found = [(i[ok], j[ok]) for i, j in _steps(token, count) for ok in [may(i, j)]]
+            met = np.zeros(len(token), bool)
+            for i, j in _steps(token, count):
+                ok = may(i, j)
+                met[i[ok]] = met[j[ok]] = True
             for a, n in zip(first[count > SMALL].tolist(), count[count > SMALL].tolist(), strict=True):
-                for i in range(a, a + n - 1):
-                    j = np.arange(i + 1, a + n)
-                    j = j[may(i, j)]
-                    found.append((np.full(len(j), i), j))
-            pairs = np.concatenate([np.stack([node[i], node[j]], 1) for i, j in found]) if found else np.zeros((0, 2), np.int64)
-            pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy(), pa.int64()), pa.array(pairs[:, 1].copy(), pa.int64())], ["a", "b"])
+                every = np.arange(a, a + n)
+                if (label[every] == label[a]).all():
+                    continue
+                for i in range(a, a + n):
+                    if not met[i]:
+                        j = every[may(i, every)]
+                        met[j] = True
+                        met[i] = len(j) > 0
+            rows = np.flatnonzero(met)
+            if not len(rows):
+                continue
+            begin, n = _runs(token[rows])
+            name = np.add.reduceat(_mixed(node[rows].view(np.uint64), 1), begin).view(np.int64)
+            fresh = np.zeros(len(begin), bool)
+            for k, x in enumerate(name.tolist()):
+                if x not in seen:
+                    seen.add(x)
+                    fresh[k] = True
+            keep = np.repeat(fresh, n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, n)[keep]), pa.array(node[rows][keep])], ["met", "node"])
+
+    return run
+
+
+def _may(similarity: float, n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m shingles with parities x and y can be similar enough: they differ in at least as many shingles as in bits."""
+    return n + m - np.bitwise_count(x ^ y).sum(-1, dtype=np.int64) >= 2 * (similarity / (1 + similarity) * (n + m) - 1e-6)
+
+
+def _spanned(similarity: float):
+    """Pairs a, b that connect all pairs of rows of a meeting, of different components, that sizes and parities leave possible."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for met, node, label, size, bits in _whole_buckets(batches, ("met", "node", "label", "size", "parity")):
+            out: list[tuple[int, int]] = []
+            for a, count in zip(*(x.tolist() for x in _runs(met)), strict=True):
+                if (label[a : a + count] == label[a]).all():
+                    continue
+                order = a + np.argsort(size[a : a + count], kind="stable")
+                own, kin, n = node[order], label[order], size[order].astype(np.int64)
+                root = np.arange(count)
+                ends = np.searchsorted(n, n / similarity + 1e-6, "right")
+                width = np.array([len(bits[k]) for k in order])
+                for w in np.unique(width).tolist():
+                    # wider parities of rows of similar sizes fold to this width
+                    i0, i1 = np.searchsorted(width, [w, w + 1]).tolist()
+                    wider = [bits[k] for k in order[i0 : int(ends[i1 - 1])]]
+                    table = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, "<u8").reshape(-1, w // 8), axis=0) for x in wider])
+                    for i in range(i0, i1):
+                        j = np.arange(i + 1, int(ends[i]))
+                        j = j[kin[j] != kin[i]]
+                        j = j[_may(similarity, n[i], n[j], table[i - i0], table[j - i0])]
+                        j = j[root[j] != root[i]]
+                        for r in np.unique(root[j]).tolist():
+                            out.append((int(own[i]), int(own[j[root[j] == r][0]])))
+                        root[np.isin(root, root[j])] = root[i]
+            rows = list(zip(*out, strict=True)) if out else [()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], ["a", "b"])
 
     return run
 
 
-def _possible(similarity: float):
-    """Pairs whose sets can be similar enough: they differ in at least as many shingles as in bits of parity."""
+def _linked(similarity: float):
+    """Links a, b among the rows of each family that connect all its similar pairs, counted on the sets of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(batch.num_rows, -1) for c in ("xa", "xb"))
-            both = batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
-            keep = both - np.bitwise_count(x ^ y).sum(1, dtype=np.int64) >= 2 * (similarity / (1 + similarity) * both - 1e-6)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
+        for family, node, label, sets in _whole_buckets(batches, ("family", "node", "label", "shingles")):
+            out: list[tuple[int, int]] = []
+            for a, count in zip(*(x.tolist() for x in _runs(family)), strict=True):
+                order = a + np.argsort([len(x) for x in sets[a : a + count]], kind="stable")
+                own, kin, every = node[order], label[order], sets[order]
+                n = np.array([len(x) for x in every], np.int64)
+                ends = np.searchsorted(n, n / similarity + 1e-6, "right")
+                bits = np.stack([parity(x.view(np.uint64), _width(int(n[-1]))) for x in every])
+                for i in range(count):
+                    others = np.arange(i + 1, int(ends[i]))
+                    others = others[kin[others] != kin[i]]
+                    others = others[_may(similarity, n[i], n[others], bits[i], bits[others])]
+                    for k in range(0, len(others), TOGETHER):
+                        some = others[k : k + TOGETHER]
+                        some = some[kin[some] != kin[i]]
+                        if not len(some):
+                            continue
+                        both = common(every[i], [every[j] for j in some])
+                        for j in some[both >= similarity * (n[i] + n[some] - both)].tolist():
+                            if kin[i] != kin[j]:
+                                out.append((int(own[i]), int(own[j])))
+                                kin[kin == kin[j]] = kin[i]
+            rows = list(zip(*out, strict=True)) if out else [()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], ["a", "b"])
 
     return run
 
@@ -680,25 +789,34 @@ def _completed(text: DataFrame, nodes: DataFrame, labels: DataFrame, similarity:
     """labels (node, label) after all links between their components: an exact way for pairs that fingerprints miss.
 
     Shingles have one order for all texts. Two sets as similar as that share one of their first
-    n - ceil(similarity * n) + 1, so all pairs of different components that share one are counted on
-    the texts, unless a bound on their common shingles (places, sizes, parities) is too low. The pairs
-    of an id of several rows are not bounded; one of its texts is counted. Any order is exact; shingles that are often among the first come last for speed.
+    n - ceil(similarity * n) + 1. Rows that share one with a row of another component meet, unless a bound on
+    their common shingles (places, sizes) is too low. Each set of rows that meet is compared once, by
+    parities; pairs that stay possible make families, and within a family all pairs of different components are
+    counted on the sets of shingles. So no pair is a row: a meeting of n rows gives n rows and at most n - 1 links.
+    Any order is exact; frequent shingles come last for speed. All texts of an id of several rows take part.
     """
     known = S.stored(nodes.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "near-components")
-    rows = lambda late: S.stored(text.mapInArrow(_first_shingles(similarity, shingle, late), "node long, size int, tokens array<bigint>, parity binary").join(known, "node"), "near-first")
-    first = rows(np.zeros(0, np.uint64))
-    often = first.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > OFTEN)
-    late = [r.token for r in often.orderBy(F.desc("n"), "token").limit(LATE).select("token").collect()]
-    if late:
-        first = rows(np.sort(np.array(late, np.int64).view(np.uint64)))
-    tokens = first.select("node", "label", "size", F.posexplode("tokens").alias("place", "token"))
-    shared = tokens.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_sharing(similarity), "a long, b long")
-    of = lambda c: first.groupBy("node").agg(F.count("*").alias("k"), F.max("size").alias("n"), F.max("parity").alias(f"x{c}")).select(F.col("node").alias(c), F.when(F.col("k") > 1, 1 << 30).otherwise(F.col("n")).alias(f"n{c}"), f"x{c}")
-    bounded = shared.distinct().join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "xa", "xb")
-    pairs = S.stored(bounded.mapInArrow(_possible(similarity), "a long, b long"), "near-rest")
+    often = text.mapInArrow(_frequent(shingle), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    late = np.array([r.token for r in often.orderBy(F.desc("n"), "token").limit(LATE).select("token").collect()], np.int64).view(np.uint64)
+    order = np.argsort(late)
+    made = text.mapInArrow(_first_shingles(similarity, shingle, late[order], -order), "node long, size int, tokens array<bigint>, parity binary")
+    first = S.stored(made.join(known, "node"), "near-first")
+    place = (F.shiftleft(F.col("size").cast("long"), 32) + F.col("place")).alias("place")
+    tokens = first.select("node", "label", "size", F.posexplode("tokens").alias("place", "token")).select("token", "node", "label", place)
+    met = tokens.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_sharing(similarity), "met long, node long")
+    met = S.stored(met.distinct(), "near-met")
+    if met.isEmpty():
+        return labels
+    judged = met.join(first.select("node", "label", "size", "parity").distinct(), "node").select("met", "node", "label", "size", "parity")
+    pairs = S.stored(judged.repartition("met").sortWithinPartitions("met").mapInArrow(_spanned(similarity), "a long, b long").distinct(), "near-possible")
     if pairs.isEmpty():
         return labels
-    more = _compared(text, pairs, similarity, shingle)
+    families = S.stored(components(pairs).select("node", F.col("label").alias("family")), "near-families")
+    few = S.small(families, families.count())
+    texts = text.join(few, text["doc_id"] == few["node"], "left_semi").select("doc_id", "text").distinct()
+    sets = S.stored(texts.mapInArrow(_sets(shingle), "node long, shingles array<bigint>"), "near-sets")
+    whole = sets.join(families, "node").join(known, "node").select("family", "node", "label", "shingles")
+    more = S.stored(whole.repartition("family").sortWithinPartitions("family").mapInArrow(_linked(similarity), "a long, b long"), "near-more")
     if more.isEmpty():
         return labels
     return S.stored(components(S.stored(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more), "near-links")), "near-labels")
@@ -731,8 +849,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = NEAR_SHINGLE, similarity:
     ready = nodes.select("node", mark.alias("mark"), "fp")
     keys = ready.mapInArrow(_keys(parts), "bucket long, node long, mark long").repartition("bucket").sortWithinPartitions("bucket", "node")
     met = keys.mapInArrow(_meeting(limit), "bucket long, node long")
+    begin, path = S.mark(), S.work_folder(docs.sparkSession, "near-connected")
     whole = S.stored(met.join(nodes.select("node", "size", "fp"), "node").select("bucket", "node", "size", "fp"), "near-whole")
-    labels = _completed(text, nodes, _connected(text, whole, similarity, shingle), similarity, shingle)
+    connected = S.saved(_connected(text, whole, similarity, shingle), path)
+    S.release(docs.sparkSession, begin, keep=[path])
+    labels = _completed(text, nodes, connected, similarity, shingle)
     keepers = nodes.select("key", "node").join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("keeper"))
     return prints.select("doc_id", "key").join(keepers, "key").select("doc_id", "keeper")
 
@@ -742,7 +863,9 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
 
     Rows that share an id are one document if their texts are equal.
     """
-    found = S.stored(near_duplicates(docs, **options), "near-groups")
+    begin, path = S.mark(), S.work_folder(docs.sparkSession, "near-groups")
+    found = S.saved(near_duplicates(docs, **options), path)
+    S.release(docs.sparkSession, begin, keep=[path])
     gone = S.stored(found.where(F.col("doc_id") != F.col("keeper")).select("doc_id").distinct(), "near-gone")
     kept = docs.join(gone, "doc_id", "left_anti").select(*S.columns(docs))
     twice = S.stored(found.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("doc_id"), "near-twice")

@@ -298,6 +298,46 @@ def test_first_shingles_that_are_frequent_come_last(spark, monkeypatch):
     assert 1 < len(set(label)) < 40 and [found.get(i, i) for i in range(40)] == label
 
 
+def test_texts_that_share_shingles_are_no_rows_for_each_pair(spark, monkeypatch):
+    """400 texts of one template below the similarity and 20 pairs above it, fingerprints switched off: rows follow the first shingles."""
+    monkeypatch.setattr(simhash, "OFTEN", 1000)  # the template doesn't come last
+    made, kind = [], type(spark.range(0))
+    plain = kind.mapInArrow
+
+    def counting(self, function, schema, *more, **named):
+        n = spark.sparkContext.accumulator(0)
+        made.append(n)
+
+        def run(batches):
+            for batch in function(batches):
+                n.add(batch.num_rows)
+                yield batch
+
+        return plain(self, run, schema, *more, **named)
+
+    monkeypatch.setattr(kind, "mapInArrow", counting)
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    template = [word() for _ in range(64)]
+    texts = [[*template, *(word() for _ in range(20))] for _ in range(400)]
+    for k in range(20):  # sizes on both sides of a width of parities
+        own = [word() for _ in range(64)]
+        texts += [own, [*own, *(word() for _ in range(1 + k % 11))]]
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    none = spark.createDataFrame([], "node long, label long")
+    found = {r.node: r.label for r in simhash._completed(rows, rows.select(F.col("doc_id").alias("node")), none, 0.8, 5).collect()}
+    assert {jaccard(x, y) >= 0.8 for x, y in zip(texts[:20], texts[1:21], strict=True)} == {False}
+    assert {i: x for i, x in found.items() if i != x} == {401 + 2 * k: 400 + 2 * k for k in range(20)}
+    first = sum(n - int(np.ceil(0.8 * n)) + 1 for n in (len(t) - 4 for t in texts))
+    assert 0 < max(n.value for n in made) <= first
+
+
+def test_parities_fold():
+    every = np.unique(np.random.default_rng(6).integers(0, 1 << 63, 500).astype(np.uint64))
+    for w in (64, 128, 1024):
+        assert (np.bitwise_xor.reduce(simhash.parity(every, 4 * w).reshape(4, -1), axis=0) == simhash.parity(every, w)).all()
+
+
 def family(rows, least=0.68, sure=0.92, label=None, tried=None):
     fps = np.packbits(rows, axis=1, bitorder="little").view("<u8")
     n = len(rows)
