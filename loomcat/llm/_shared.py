@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import os
 import shutil
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -75,6 +76,13 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *parts])
 
 
+def forget_tokens() -> None:
+    """Frees what an earlier step's token ids left in this Python worker: Spark keeps workers, with all they hold, for later steps."""
+    tokens = sys.modules.get(f"{__package__}.tokens")
+    if tokens:
+        tokens._ENCODERS.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -169,6 +169,7 @@ def _keys(partitions: list[tuple[list[int], int]]):
     """Rows bucket, node, mark for rows node, mark and fp (words of 64 bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        S.forget_tokens()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -338,6 +339,7 @@ MARGIN = 0.12
 
 def _wide_fingerprints(shingle: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        S.forget_tokens()
         for batch in batches:
             keys, sizes, fps = [], [], []
             for text in batch.column("text").to_pylist():
@@ -397,6 +399,7 @@ def _meeting(distance: int):
     """Rows bucket, node that have another of their bucket within the distance by mark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        S.forget_tokens()
         for bucket, node, mark in _whole_buckets(batches, ("bucket", "node", "mark")):
             mark = mark.view("<u8")
             first, size = _runs(bucket)
@@ -503,33 +506,6 @@ def common(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
 TOGETHER = 256
 
 
-def _counted(least: float, sure: float, similarity: float):
-    """Links a < b among the open pairs of each bucket, counted on the sets of shingles; a pair counts in the first bucket that both share."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in _whole_buckets(batches, (*WHOLE, "buckets", "shingles")):
-            out: list[tuple[int, int]] = []
-            for bucket, family, own in _families(*columns, least=least, sure=sure):
-                buckets, sets = columns[-2][own], columns[-1][own]
-                for i in range(len(sets) - 1):
-                    others = family.open(i)
-                    for k in range(0, len(others), TOGETHER):
-                        some = [j for j in others[k : k + TOGETHER].tolist() if family.label[i] != family.label[j] and np.intersect1d(buckets[i], buckets[j], assume_unique=True)[0] == bucket]
-                        if not some:
-                            continue
-                        both = common(sets[i], [sets[j] for j in some])
-                        every = len(sets[i]) + np.array([len(sets[j]) for j in some]) - both
-                        for j in np.array(some)[both >= similarity * every].tolist():
-                            if family.label[i] != family.label[j]:
-                                x, y = int(family.node[i]), int(family.node[j])
-                                out.append((min(x, y), max(x, y)))
-                                family.label[family.label == family.label[j]] = family.label[i]
-            rows = list(zip(*out, strict=True)) if out else [()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], ["a", "b"])
-
-    return run
-
-
 def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -572,9 +548,8 @@ def _connected(text: DataFrame, whole: DataFrame, similarity: float, shingle: in
 
     A spanning tree of every bucket is proposed. Its sure pairs are links; of the others
     first each row's best is counted on the texts, then those that are still between two
-    components. Where a tree's pair was no link, the pairs of that bucket that are still open
-    are all counted within it, on the sets of shingles, so no link is lost and no pair
-    is a row.
+    components. Where a tree's pair was no link, a bucket may hold links that no tree has:
+    these are left to _completed, which finds all links between components.
     """
     least, sure = similarity - MARGIN, similarity + MARGIN
     dealt = lambda rows: rows.repartition("bucket").sortWithinPartitions("bucket", "node")
@@ -597,18 +572,7 @@ def _connected(text: DataFrame, whole: DataFrame, similarity: float, shingle: in
         links = S.stored(links.union(_compared(text, fresh, similarity, shingle)), "near-links")
         tried = S.stored(tried.union(fresh), "near-tried") if last else tried
         labels = S.stored(components(links), "near-labels")
-    # the buckets whose trees rest on a pair that is no link
-    false = tried.join(links, ["a", "b"], "left_anti")
-    open_buckets = S.stored(unsure.join(false, ["a", "b"], "left_semi").select("bucket").distinct(), "near-open-buckets")
-    if open_buckets.isEmpty():
-        return labels
-    rows = S.stored(whole.join(open_buckets, "bucket", "left_semi").join(labels, "node", "left").select(*whole.columns, F.coalesce("label", "node").alias("label")), "near-open-rows")
-    compared = tried.select(F.col("a").alias("node"), "b").union(tried.select("b", "a")).groupBy("node").agg(F.collect_set("b").alias("tried"))
-    own = rows.groupBy("node").agg(F.array_sort(F.collect_set("bucket")).alias("buckets"))
-    sets = _texts(text, rows.select(F.col("node").alias("doc_id"))).mapInArrow(_sets(shingle), "node long, shingles array<bigint>")
-    ready = rows.join(own, "node").join(S.stored(sets, "near-sets"), "node").join(compared, "node", "left").select(*WHOLE, "buckets", "shingles")
-    more = S.stored(dealt(ready).mapInArrow(_counted(least, sure, similarity), "a long, b long"), "near-counted")
-    return labels if more.isEmpty() else S.stored(components(S.stored(links.union(more), "near-links")), "near-labels")
+    return labels
 
 
 #: A shingle of more than so many texts of those that a task counts at once comes after others, the most frequent last; no more than LATE are held.
@@ -627,6 +591,7 @@ def _frequent(shingle: int):
         return pa.RecordBatch.from_arrays([pa.array(token[n > OFTEN].view(np.int64)), pa.array(n[n > OFTEN].astype(np.int64))], ["token", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        S.forget_tokens()
         held, total = [], 0
         for batch in batches:
             for text in batch.column("text").to_pylist():
@@ -653,6 +618,7 @@ def _first_shingles(similarity: float, shingle: int, late: np.ndarray, rank: np.
     """node, size and the first shingles in one order of all (by hash, the sorted late ones last by rank): texts as similar as that share one of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        S.forget_tokens()
         for batch in batches:
             sizes, first, bits = [], [], []
             for text in batch.column("text").to_pylist():
@@ -676,6 +642,7 @@ def _sharing(similarity: float):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        S.forget_tokens()
         seen: set[int] = set()
         for token, node, label, place in _whole_buckets(batches, ("token", "node", "label", "place")):
             size = place >> 32
@@ -800,7 +767,11 @@ def _completed(text: DataFrame, nodes: DataFrame, labels: DataFrame, similarity:
     late = np.array([r.token for r in often.orderBy(F.desc("n"), "token").limit(LATE).select("token").collect()], np.int64).view(np.uint64)
     order = np.argsort(late)
     made = text.mapInArrow(_first_shingles(similarity, shingle, late[order], -order), "node long, size int, tokens array<bigint>, parity binary")
-    first = S.stored(made.join(known, "node"), "near-first")
+    # most rows are nodes with their own label: these rows, wide as they are, aren't dealt out for it if the others are few
+    copies = text.select(F.col("doc_id").alias("node")).join(known, "node", "left_anti").distinct().select("node", F.lit(None).cast("long").alias("label"))
+    other = S.stored(known.where(F.col("label") != F.col("node")).union(copies).withColumn("other", F.lit(True)), "near-other")
+    own = made.join(S.small(other, other.count()), "node", "left").where(F.col("other").isNull() | F.col("label").isNotNull())
+    first = S.stored(own.select("node", "size", "tokens", "parity", F.coalesce("label", "node").alias("label")), "near-first")
     place = (F.shiftleft(F.col("size").cast("long"), 32) + F.col("place")).alias("place")
     tokens = first.select("node", "label", "size", F.posexplode("tokens").alias("place", "token")).select("token", "node", "label", place)
     met = tokens.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_sharing(similarity), "met long, node long")

@@ -420,3 +420,27 @@ def test_mixing_threshold_above_all_hashes(spark):
     table = spark.createDataFrame([(i, f"w{i}", "a") for i in range(500)], "doc_id long, text string, source string")
     top = mixing._hashed(table, mixing.SEED).agg(F.max("hash")).first()[0]
     assert ((top >> 56) + 1) << 56 < 1 << 63
+
+
+def test_near_duplicates_deal_wide_rows_and_sets_once(spark, monkeypatch):
+    """Links that no bucket's tree has are found without a set of shingles for each bucket and row; labels reach rows where they are."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for _ in range(40):  # at 0.6 to 0.9 of the template, so that trees rest on pairs that are no links
+        own = list(base)
+        for k in rng.sample(range(200), rng.randint(2, 12)):
+            own[k] = f"x{rng.random()}"
+        texts.append(own)
+    sets = [{tuple(t[i : i + 5]) for i in range(196)} for t in texts]
+    group = list(range(40))
+    for i in range(40):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                a, b = sorted((group[i], group[j]))
+                group = [a if g == b else g for g in group]
+    stored, names = S.stored, []
+    monkeypatch.setattr(S, "stored", lambda df, name: stored(names.append(name) or df, name))
+    found = simhash.near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)] + [(40, " ".join(texts[0]).upper())], "doc_id long, text string"))
+    assert {r.doc_id: r.keeper for r in found.collect()} == {**dict(enumerate(group)), 40: group[0]}
+    assert "near-counted" not in names and "near-other" in names
