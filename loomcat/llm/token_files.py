@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from . import _shared as S
 from .tokens import BYTE_BPE, batches_of, encoder
 
 END_ID = 2
+#: Characters whose different chunks are looked up at once.
+CHARS = 2_000_000
 ORC_OPTIONS = {
     "compression": "zstd",
     "orc.bloom.filter.columns": "doc_id",
@@ -34,16 +37,14 @@ SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 
 def _encoded(name: str, path: str | None, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, start, tail = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
+        part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for a, b in batches_of(texts):
-                rows = [x + tail for x in encoder(name, path).encode(texts[a:b])]
-                sizes = np.array([len(x) // 4 for x in rows], np.int64)
+            ids, texts = batch.column("doc_id"), batch.column("text")
+            for a, b in batches_of(pc.utf8_length(texts).to_numpy(), CHARS):
+                sizes, values = encoder(name, path).columns(texts.slice(a, b - a), end_id)
                 ends = np.cumsum(sizes)
                 offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-                values = pa.array(np.frombuffer(b"".join(rows), "<u4").view("<i4"))
-                columns = [ids.slice(a, b - a), pa.array(np.full(b - a, part, np.int32)), pa.array(start + ends - sizes), pa.array(sizes), pa.ListArray.from_arrays(offsets, values)]
+                columns = [ids.slice(a, b - a), pa.array(np.full(b - a, part, np.int32)), pa.array(start + ends - sizes), pa.array(sizes), pa.ListArray.from_arrays(offsets, pa.array(values))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "part_start", "n_tokens", "ids"])
                 start += int(ends[-1])
 

@@ -12,7 +12,10 @@ import json
 import re
 from array import array
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 WORD_BPE = "word_bpe_49k.json"
@@ -22,6 +25,9 @@ MEMO_SINGLE, MEMO_JOINED, MEMO_PIECES = 800_000, 250_000, 150_000
 #: White space on which rules differ between libraries, and runs of it that are cut as a whole: such texts are encoded whole.
 ODD_SPACE = regex.compile("[\x1c-\x1f\x85᠎]")
 RUN_OF_SPACE = regex.compile(r"\s\s|\s\Z|\A\s")
+#: Texts that either finds, for Arrow: the same white space, spelled out.
+_SPACE = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+WHOLE = rf"[\x{{1c}}-\x{{1f}}\x{{85}}\x{{180e}}]|{_SPACE}{_SPACE}|{_SPACE}\z|\A{_SPACE}"
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -126,6 +132,39 @@ class Encoder:
             out.append(b"".join(head + ids))
         return out
 
+    def columns(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids of the texts, and all their ids on end, the end id after each text; for a byte-level vocabulary.
+
+        Each different chunk of the texts is looked up once, and its ids are put in its places by Arrow.
+        """
+        texts = texts.cast(pa.large_string())
+        whole = pc.match_substring_regex(texts, WHOLE)
+        # a text that is encoded whole has one, empty chunk
+        parts = pc.split_pattern(pc.if_else(whole, "", texts), " ")
+        first = parts.offsets.to_numpy()
+        chunks = parts.values.slice(first[0], first[-1] - first[0]).dictionary_encode()
+        first = first - first[0]
+        at, words = chunks.indices.to_numpy(), chunks.dictionary
+        heads = [t.as_py() if w else h for t, w, h in zip(texts, whole.to_pylist(), words.take(pa.array(at[first[:-1]])).to_pylist(), strict=True)]
+        inner = np.ones(len(at), bool)
+        inner[first[:-1]] = False
+        used = np.flatnonzero(np.bincount(at[inner], minlength=len(words)))
+        rest = words.take(pa.array(used)).to_pylist()
+        ids = list(map(self.chunks.get, rest))
+        if None in ids:
+            ids = [self._chunk(c) if i is None else i for c, i in zip(rest, ids, strict=True)]
+        # entries: the chunks in use, the heads, the end
+        entry = np.zeros(len(words), np.int64)
+        entry[used] = np.arange(len(used))
+        order = entry[at]
+        order[first[:-1]] = len(used) + np.arange(len(heads))
+        order = np.insert(order, first[1:], len(used) + len(heads))
+        data = [*ids, *map(self._whole, heads), np.array([end_id], "<u4").tobytes()]
+        size = np.fromiter(map(len, data), np.int64, len(data)) // 4
+        ends = np.cumsum(size)
+        lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], ends])), pa.array(np.frombuffer(b"".join(data), "<u4").view("<i4")))
+        return np.add.reduceat(size[order], first[:-1] + np.arange(len(heads))), lists.take(pa.array(order)).flatten().to_numpy()
+
 
 def encoder(name: str, path: str | None = None) -> Encoder:
     """The worker's encoder for a vocabulary file; path: the file, by default that of the installed vocabularies."""
@@ -135,11 +174,11 @@ def encoder(name: str, path: str | None = None) -> Encoder:
     return _ENCODERS[path]
 
 
-def batches_of(texts: list[str], chars: int = 400_000):
-    """Runs of positions whose texts hold about so many characters."""
+def batches_of(texts: list[str] | np.ndarray, chars: int = 400_000):
+    """Runs of positions whose texts (or their lengths) hold about so many characters."""
     first, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
+    for i, t in enumerate(texts.tolist() if isinstance(texts, np.ndarray) else map(len, texts)):
+        size += t
         if size >= chars:
             yield first, i + 1
             first, size = i + 1, 0

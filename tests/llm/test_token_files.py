@@ -1,9 +1,12 @@
 """Token files: what prunes them, and ids that many rows share."""
 
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loomcat.llm import _shared as S
 from loomcat.llm import token_files
+from loomcat.llm.tokens import BYTE_BPE, Encoder
 
 
 def scanned(df):
@@ -40,3 +43,21 @@ def test_frequent_ids_are_split(spark):
     for r in rows:
         assert r.start == at and len(r.ids) == r.n_tokens
         at += r.n_tokens
+
+
+def test_a_repeated_chunk_is_looked_up_once():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key):
+            Counted.asked += 1
+            return super().get(key)
+
+    odd = ["", " ", "one two", "one\ntwo it's", " one", "two ", "a  b", "a\xa0\xa0b", "a\x85b", "é 中 😀.\nOne", "x᠎y", "　x"]
+    texts = [*odd, *(["one two three's"] * 500)]
+    own = Encoder(public_tokenizers.path(BYTE_BPE), BYTE_BPE)
+    own.chunks = Counted()
+    sizes, ids = own.columns(pa.array(["cut off", *texts]).slice(1), 2)
+    every = [[*own.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert sizes.tolist() == [len(x) for x in every] and ids.tolist() == [i for x in every for i in x]
+    assert Counted.asked < 50
