@@ -9,8 +9,10 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Iterable
+from contextlib import suppress
 from pathlib import Path
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,9 +66,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def saved(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", CODEC).parquet(path)
+    trim_driver(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def trim_driver(spark: SparkSession) -> None:
+    """Gives the system what the driver's JVM has freed outside its heap (compilers' work memory above all), which the C library would keep.
+
+    Py4J reaches the server of beans by its public interface only. A JVM without the command keeps what it has.
+    """
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    named = jvm.java.lang.Class.forName
+    kinds, args = gateway.new_array(jvm.java.lang.Class, 4), gateway.new_array(jvm.java.lang.Object, 4)
+    for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[i] = named(kind)
+    args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    with suppress(Py4JError):
+        named("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+
+
 def importable(spark: SparkSession) -> None:
     """Lets Python workers import this package where it isn't installed on the executors."""
     root = str(Path(__file__).resolve().parents[2])

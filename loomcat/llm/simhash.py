@@ -106,7 +106,7 @@ def grouped_bits(sample: np.ndarray, parts: int) -> list[list[int]]:
     """Bits dealt into parts of like size, each grown from a seed bit by the bit most correlated with it."""
     n = sample.shape[1]
     centred = sample - sample.mean(0)
-    spread = np.sqrt((centred**2).sum(0)) + 1e-9
+    spread = np.sqrt(np.concatenate([(centred[:, k : k + 64] ** 2).sum(0) for k in range(0, n, 64)])) + 1e-9  # by blocks, for the driver's memory
     tie = np.abs(centred.T @ centred) / np.outer(spread, spread)
     free, out = list(range(n)), []
     for p in range(parts):
@@ -308,7 +308,7 @@ def sampled(fps: DataFrame, order: str) -> np.ndarray:
     rows = fps.orderBy(F.xxhash64(order), order).limit(SAMPLE).collect()
     data = [int(r.fp) & MASK if isinstance(r.fp, int) else r.fp for r in rows]
     words = np.frombuffer(b"".join(data), "<u8").reshape(len(data), -1) if data and isinstance(data[0], (bytes, bytearray)) else np.array(data, np.uint64).reshape(-1, 1)
-    return bits_of(words).astype(np.float64)
+    return bits_of(words)
 
 
 def groups(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:

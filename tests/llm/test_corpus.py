@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -444,3 +445,16 @@ def test_near_duplicates_deal_wide_rows_and_sets_once(spark, monkeypatch):
     found = simhash.near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)] + [(40, " ".join(texts[0]).upper())], "doc_id long, text string"))
     assert {r.doc_id: r.keeper for r in found.collect()} == {**dict(enumerate(group)), 40: group[0]}
     assert "near-counted" not in names and "near-other" in names
+
+
+def test_sample_of_wide_fingerprints_is_small_in_the_driver(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, bytearray(rng.bytes(128))) for i in range(simhash.SAMPLE)]
+    fps = spark.createDataFrame(rows, "id long, fp binary")
+    sample = simhash.sampled(fps, "fp")
+    assert sample.shape == (simhash.SAMPLE, 1024) and sample.nbytes < 5e6
+    tracemalloc.start()
+    found = simhash.grouped_bits(sample, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [list(range(1024))] and peak < 80e6

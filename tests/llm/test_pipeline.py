@@ -65,3 +65,24 @@ def test_run_keeps_one_folder(spark, docs, tmp_path):
         assert r.offset == at[r.sequence_id]
         at[r.sequence_id] += r.length
     assert at and max(at.values()) <= 2048
+
+
+def test_stored_tables_leave_no_freed_memory_in_the_driver(spark):
+    jvm = spark.sparkContext._jvm
+    pid = jvm.java.lang.ProcessHandle.current().pid()
+
+    def resident():
+        with open(f"/proc/{pid}/status") as f:
+            return next(int(x.split()[1]) / 1024 for x in f if x.startswith("VmRSS"))
+
+    S.stored(spark.range(10), "warm")
+    held = [jvm.java.util.zip.Deflater() for _ in range(1600)]  # outside the heap
+    for i, x in enumerate(held):
+        if i % 50:
+            x.end()
+    before = resident()
+    S.stored(spark.range(10), "after")
+    after = resident()
+    for x in held[::50]:
+        x.end()
+    assert before - after > 50
