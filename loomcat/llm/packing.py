@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -27,6 +28,8 @@ from .tokens import WORD_BPE, batches_of, encoder
 
 CAPACITY = 2048
 SEPARATOR = 0
+#: Characters whose different chunks are looked up at once, and pieces handed to Spark at once.
+CHARS, ROWS = 8_000_000, 500
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long, ids array<int>"
 
 
@@ -138,26 +141,29 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 
 def _pieces(name: str, path: str | None, capacity: int, separator: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, tail, seen = TaskContext.get().partitionId(), np.array([separator], "<u4").tobytes(), defaultdict(int)
+        part, seen = TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for a, b in batches_of(texts):
-                rows: list[tuple] = []
-                data: list[bytes] = []
-                for doc, x in zip(ids[a:b], encoder(name, path).encode(texts[a:b]), strict=True):
-                    x += tail
-                    for k, start in enumerate(range(0, len(x) // 4, capacity)):
-                        own = x[4 * start : 4 * (start + capacity)]
-                        n = len(own) // 4
-                        rows.append((doc, k, start, n, zlib.crc32(own), part, seen[n]))
-                        data.append(own)
-                        seen[n] += 1
-                doc, k, start, n, crc, parts, nth = zip(*rows, strict=True)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-                lists = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(data), "<u4").view("<i4")))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-                columns = [pa.array(c, t) for c, t in zip((doc, k, start, n, crc, parts, nth), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*columns, lists], [x.split()[0] for x in PIECES.split(", ")])
+            ids, texts = batch.column("doc_id"), batch.column("text")
+            for a, b in batches_of(pc.utf8_length(texts).to_numpy(), CHARS):
+                sizes, values = encoder(name, path).columns(texts.slice(a, b - a), separator)
+                count = -(-sizes // capacity)  # the separator makes it one at least
+                doc, before = np.repeat(np.arange(a, b), count), np.cumsum(count) - count
+                k = np.arange(len(doc)) - np.repeat(before, count)
+                start = k * capacity
+                n = np.minimum(np.repeat(sizes, count) - start, capacity)
+                ends = np.cumsum(n)
+                data = memoryview(values.astype("<i4", copy=False).view(np.uint8))
+                crc = [zlib.crc32(data[4 * (e - m) : 4 * e]) for e, m in zip(ends.tolist(), n.tolist(), strict=True)]
+                nth = []
+                for m in n.tolist():
+                    nth.append(seen[m])
+                    seen[m] += 1
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values))
+                parts = np.full(len(doc), part, np.int32)
+                columns = [ids.take(pa.array(doc)), *map(pa.array, (k.astype(np.int32), start, n)), pa.array(crc, pa.int64()), pa.array(parts), pa.array(nth, pa.int64()), lists]
+                out = pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in PIECES.split(", ")])
+                for i in range(0, len(doc), ROWS):
+                    yield out.slice(i, ROWS)
 
     return run
 
