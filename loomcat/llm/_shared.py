@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import sys
@@ -12,6 +13,7 @@ from collections.abc import Iterable
 from contextlib import suppress
 from pathlib import Path
 
+import pyarrow as pa
 from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,6 +101,14 @@ def forget_tokens() -> None:
     tokens = sys.modules.get(f"{__package__}.tokens")
     if tokens:
         tokens._ENCODERS.clear()
+        trim_worker()
+
+
+def trim_worker() -> None:
+    """Gives the system what this Python worker has freed: idle workers keep it beside the executor's JVM. Other C libraries than GNU's keep what they have."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

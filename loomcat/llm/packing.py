@@ -29,7 +29,7 @@ from .tokens import WORD_BPE, batches_of, encoder
 CAPACITY = 2048
 SEPARATOR = 0
 #: Characters whose different chunks are looked up at once, and pieces handed to Spark at once.
-CHARS, ROWS = 8_000_000, 500
+CHARS, ROWS = 4_000_000, 500
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long, ids array<int>"
 
 
@@ -140,30 +140,34 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 
 
 def _pieces(name: str, path: str | None, capacity: int, separator: int):
+    def of_batch(batch: pa.RecordBatch, part: int, seen: dict[int, int]) -> Iterator[pa.RecordBatch]:
+        ids, texts = batch.column("doc_id"), batch.column("text")
+        for a, b in batches_of(pc.utf8_length(texts).to_numpy(), CHARS):
+            sizes, values = encoder(name, path).columns(texts.slice(a, b - a), separator)
+            count = -(-sizes // capacity)  # the separator makes it one at least
+            doc, before = np.repeat(np.arange(a, b), count), np.cumsum(count) - count
+            k = np.arange(len(doc)) - np.repeat(before, count)
+            start = k * capacity
+            n = np.minimum(np.repeat(sizes, count) - start, capacity)
+            ends = np.cumsum(n)
+            data = memoryview(values.astype("<i4", copy=False).view(np.uint8))
+            crc = [zlib.crc32(data[4 * (e - m) : 4 * e]) for e, m in zip(ends.tolist(), n.tolist(), strict=True)]
+            nth = []
+            for m in n.tolist():
+                nth.append(seen[m])
+                seen[m] += 1
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values))
+            parts = np.full(len(doc), part, np.int32)
+            columns = [ids.take(pa.array(doc)), *map(pa.array, (k.astype(np.int32), start, n)), pa.array(crc, pa.int64()), pa.array(parts), pa.array(nth, pa.int64()), lists]
+            out = pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in PIECES.split(", ")])
+            for i in range(0, len(doc), ROWS):
+                yield out.slice(i, ROWS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text")
-            for a, b in batches_of(pc.utf8_length(texts).to_numpy(), CHARS):
-                sizes, values = encoder(name, path).columns(texts.slice(a, b - a), separator)
-                count = -(-sizes // capacity)  # the separator makes it one at least
-                doc, before = np.repeat(np.arange(a, b), count), np.cumsum(count) - count
-                k = np.arange(len(doc)) - np.repeat(before, count)
-                start = k * capacity
-                n = np.minimum(np.repeat(sizes, count) - start, capacity)
-                ends = np.cumsum(n)
-                data = memoryview(values.astype("<i4", copy=False).view(np.uint8))
-                crc = [zlib.crc32(data[4 * (e - m) : 4 * e]) for e, m in zip(ends.tolist(), n.tolist(), strict=True)]
-                nth = []
-                for m in n.tolist():
-                    nth.append(seen[m])
-                    seen[m] += 1
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values))
-                parts = np.full(len(doc), part, np.int32)
-                columns = [ids.take(pa.array(doc)), *map(pa.array, (k.astype(np.int32), start, n)), pa.array(crc, pa.int64()), pa.array(parts), pa.array(nth, pa.int64()), lists]
-                out = pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in PIECES.split(", ")])
-                for i in range(0, len(doc), ROWS):
-                    yield out.slice(i, ROWS)
+            yield from of_batch(batch, part, seen)
+            S.trim_worker()
 
     return run
 

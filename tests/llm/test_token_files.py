@@ -106,3 +106,16 @@ def test_pieces_of_a_batch_come_in_parts(spark):
     assert len(found) == 1203 > 2 * packing.ROWS
     for n in {r.length for r in found}:
         assert sorted(r.nth for r in found if r.length == n) == list(range(sum(r.length == n for r in found)))
+
+
+def test_a_worker_gives_back_what_it_freed():
+    def resident():
+        with open("/proc/self/status") as f:
+            return next(int(x.split()[1]) for x in f if x.startswith("VmRSS")) >> 10
+
+    kept = [bytes(1000) for _ in range(200_000)]
+    last = kept[-1]  # above the others, so that the C library can't shorten its heap by itself
+    full = resident()
+    del kept
+    S.trim_worker()
+    assert full - resident() > 100 and len(last) == 1000
